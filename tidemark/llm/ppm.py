@@ -2,9 +2,9 @@
 
 The model is a trie of byte contexts of up to ``ORDER`` bytes.  A byte is
 predicted from its longest context that training saw; a context escapes to the
-next shorter one with the probability of method C (distinct followers over
-followers plus distinct followers), and the bytes that the longer context had
-are excluded there.  Below order 0 the rest of the alphabet is equally likely.
+next shorter one with the probability of method D (each follower seen c times
+keeps c - 1/2, what is left over escapes), and the bytes that the longer context
+had are excluded there.  Below order 0 the rest of the alphabet is equally likely.
 A text is scored with an end symbol, so scores are probabilities of whole texts.
 
 Training counts cover every byte of every training text.  They are kept as a
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from tidemark.llm.exchange import Exchange, part_of, ranges
 from tidemark.llm.textcore import SPACE, Texts, Words, attach, group_starts, mix, pack_sorted, tune, unpack_sorted, without
 
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never has: before a text, and after it.
 BEFORE, END = 0xFE, 0xFF
 #: Symbols that can be predicted: all bytes and the end, less the padding.
@@ -149,9 +149,9 @@ def log10_probabilities(grams: np.ndarray, n: np.ndarray, low: list[Level], orde
             total, distinct = find(level.contexts, level.total, c), find(level.contexts, level.distinct, c)
             left, kinds = total - gone, distinct - gone_distinct
             hit = still & (count > 0)
-            out[hit] += np.log10(count[hit] / (left[hit] + kinds[hit]))
+            out[hit] += np.log10((count[hit] - 0.5) / left[hit])
             escape = still & (count == 0) & (kinds > 0)
-            out[escape] += np.log10(kinds[escape] / (left[escape] + kinds[escape]))
+            out[escape] += np.log10(0.5 * kinds[escape] / left[escape])
             still &= count == 0
             gone, gone_distinct = find(level.contexts, level.excluded, c), distinct
     out[still] -= np.log10(np.maximum(ALPHABET - gone_distinct[still], 1))
@@ -179,14 +179,14 @@ def _lower_orders(df: DataFrame, text_col: str, train_col: str) -> tuple[np.ndar
 
 def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """df with n_tokens, n_known, train_tokens, base_score and score (log10 probability), learnt where ``train`` holds."""
-    if not 3 <= order <= 4:
-        raise ValueError("order must be 3 or 4: a context and its part share one 64-bit key")
+    if not 3 <= order <= 5:
+        raise ValueError("order must be 3, 4 or 5: a byte in its context and its document share one 64-bit key")
     outputs = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     df = without(df, [*outputs, "_train"]).withColumn("_train", F.coalesce(train, F.lit(False)))
     tune(df.sparkSession)
     low = df.sparkSession.sparkContext.broadcast(low_levels(*_lower_orders(df, text_col, "_train")))
     x = Exchange(df, text_col)
-    parts, text, flag, code_bits = x.parts, x.text, x.docs.columns.index("_train"), np.uint64(8 * (order + 1))
+    parts, text, flag = x.parts, x.text, x.docs.columns.index("_train")
 
     def slices(t: pa.Table):
         texts, train = Texts.of(t.column(text)).lower(), np.asarray(t.column(flag)).astype(bool)
@@ -201,9 +201,10 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
     def grams(own: Texts):
         return codes(own, order), np.repeat(np.arange(len(own)), np.diff(own.offs) + 1)
 
-    def deal(g: np.ndarray) -> np.ndarray:
-        """Grams with their part in front: that of the last three bytes of the context."""
-        return part_of(mix((g >> np.uint64(8)) & mask(3)), parts) << code_bits | g
+    def deal(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each gram, by the last three bytes of its context; the order that sorts them by part and gram."""
+        part = part_of(mix((g >> np.uint64(8)) & mask(3)), parts)
+        return part, np.argsort(part, kind="stable")
 
     def tallies(t: pa.Table):
         words, contexts = [], []
@@ -212,17 +213,16 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
                 learnt = train[doc]
                 made.append(tally(key[learnt], key[~learnt]))
         g, n = merge(contexts)
-        key = deal(g)
-        by = np.argsort(key)
-        return merge(words), (key[by], n[by])
+        part, by = deal(g)
+        return merge(words), (part[by], g[by], n[by])
 
     def ask(t: pa.Table):
         bucket = t.column("_bucket")[0].as_py()
-        (w, wn), (g, gn) = tallies(t)
+        (w, wn), (part, g, gn) = tallies(t)
         for p, a, b in ranges(part_of(w, parts), parts):
             yield WORDS, p, bucket, pack_sorted(w[a:b]), pack_numbers(wn[a:b])
-        for p, a, b in ranges(g >> code_bits, parts):
-            yield CONTEXTS, p, bucket, pack_sorted(g[a:b] & mask(order + 1)), pack_numbers(gn[a:b])
+        for p, a, b in ranges(part, parts):
+            yield CONTEXTS, p, bucket, pack_sorted(g[a:b]), pack_numbers(gn[a:b])
 
     def decide(kind: int, part: int, keys: list[bytes], notes: list[bytes]) -> list[bytes]:
         own = [unpack_sorted(k) for k in keys]
@@ -244,7 +244,7 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
             found = np.concatenate([unpack_numbers(b[16:]) for b in told[WORDS]])
             g = np.unique(np.concatenate([np.unique(grams(own)[0]) for _, _, own, _ in slices(t)]))
             p = np.empty(len(g))
-            p[np.argsort(deal(g))] = np.concatenate([np.frombuffer(b, "<f4") for b in told[CONTEXTS]])
+            p[deal(g)[1]] = np.concatenate([np.frombuffer(b, "<f4") for b in told[CONTEXTS]])
             for a, b, own, _ in slices(t):
                 h, doc = word_hashes(own)
                 c = found[np.searchsorted(own_words, h)]
@@ -252,12 +252,12 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
                 n_known[a:b] = np.bincount(doc[c > 0], minlength=b - a)
                 counts[a:b] = np.bincount(doc, np.log10(c + 1.0), minlength=b - a)
                 code, doc = grams(own)
-                key = code << np.uint64(24) | doc.astype(np.uint64)
+                key = code << np.uint64(16) | doc.astype(np.uint64)
                 key.sort()
-                code = key >> np.uint64(24)
+                code = key >> np.uint64(16)
                 first = group_starts(code)
                 each = np.repeat(p[np.searchsorted(g, code[first])], np.diff(np.append(first, len(code))))
-                total[a:b] = np.bincount((key & mask(3)).astype(np.int64), each, minlength=b - a)
+                total[a:b] = np.bincount((key & mask(2)).astype(np.int64), each, minlength=b - a)
         return pa.Table.from_arrays([*(t.column(c) for c in kept), pa.array(n_tokens), pa.array(n_known), pa.array(counts), pa.array(total)], names=schema.names)
 
     answers = x.answer(x.ask(ask), decide)
@@ -301,10 +301,10 @@ class Trie:
             own = {s: n for s, n in self.followers.get(context[len(context) - j :], {}).items() if s not in excluded}
             if not own:
                 continue
-            total = sum(own.values()) + len(own)
+            total = sum(own.values())
             if symbol in own:
-                return out + math.log10(own[symbol] / total)
-            out += math.log10(len(own) / total)
+                return out + math.log10((own[symbol] - 0.5) / total)
+            out += math.log10(0.5 * len(own) / total)
             excluded |= own.keys()
         return out - math.log10(max(ALPHABET - len(excluded), 1))
 
