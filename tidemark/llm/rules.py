@@ -13,15 +13,13 @@ no words: all statistics 0 and the base rule on length fails.
 from __future__ import annotations
 
 import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.textcore import SPACE, Texts, Words, attach, group_starts, windows
+from tidemark.llm.textcore import SPACE, Texts, Words, attach, shared_dir, windows
 
 #: Symbols that prose rarely has; fixed by the rule's definition.
 SYMBOLS = b"#*$%&|<>"
@@ -185,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     both kinds nothing is rejected.
     """
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    told = statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(own, "_id"), "_text").drop("_text")
+    measured = statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").drop("_text")
+    shared_dir(docs.sparkSession)
+    told = measured.join(own, "_id").checkpoint()  # texts are measured where they are read, and once for both passes below
     first = told.where(F.col("_label") == good).select("_id", *rates()).orderBy(F.xxhash64("_id"), "_id").limit(FOREST_ROWS).drop("_id")
     x = np.array([tuple(r) for r in first.collect()], float).reshape(-1, len(RATES))
     forest = Forest(x, trees)
