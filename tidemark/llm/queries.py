@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, ppm, rules, substrings
+from tidemark.llm import bpe, decontam, pii, ppm, pu, rules, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, _ = pu.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"), ~held_out)
+    return pu.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.scan(docs, _table(spark, sf_dir, "benchmark"))
@@ -51,6 +58,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    numbers = [pii.number_of("base_spans", k).alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *numbers, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substrings.drop_repeats(docs)
@@ -60,8 +73,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ppm": op2_ppm,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_pii": op7_pii,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
