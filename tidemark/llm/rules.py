@@ -113,22 +113,27 @@ def _expected(n: float) -> float:
 
 
 class Forest:
-    """Isolation forest: ``trees`` random trees, each over ``subsample`` rows."""
+    """Isolation forest: ``trees`` random trees, each over ``subsample`` rows.
 
-    def __init__(self, x: np.ndarray, trees: int = 64, subsample: int = 256, seed: int = 7):
+    Splits are drawn from the box ``low``..``high`` of all rows that may come, not
+    from the extent of the subsample: a rate that normal rows never have is then
+    split off from them too, and what has it is isolated at once.
+    """
+
+    def __init__(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 100, subsample: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.size = min(subsample, len(x)) or 1
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)] if len(x) else x, 0, math.ceil(math.log2(max(self.size, 2))), rng) for _ in range(trees)]
+        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)] if len(x) else x, low, high, 0, math.ceil(math.log2(max(self.size, 2))), rng) for _ in range(trees)]
 
-    def _grow(self, x: np.ndarray, depth: int, most: int, rng) -> tuple:
-        low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(1), np.zeros(1))
+    def _grow(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, most: int, rng) -> tuple:
         open_ = np.flatnonzero(high > low)
         if depth >= most or len(x) <= 1 or not len(open_):
             return (depth + _expected(len(x)),)
         f = int(rng.choice(open_))
         at = float(rng.uniform(low[f], high[f]))
         left = x[:, f] < at
-        return (f, at, self._grow(x[left], depth + 1, most, rng), self._grow(x[~left], depth + 1, most, rng))
+        cut = lambda box: np.where(np.arange(len(box)) == f, at, box)
+        return (f, at, self._grow(x[left], low, cut(high), depth + 1, most, rng), self._grow(x[~left], cut(low), high, depth + 1, most, rng))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1): 2 ** (-mean path / expected path)."""
@@ -167,12 +172,12 @@ def forest_score(df: DataFrame, forest: Forest, out: str = "anomaly") -> DataFra
 
 
 #: Rows of labelled statistics that the forest is grown on, the first by a hash of their id.
-FOREST_ROWS = 20_000
+FOREST_ROWS = 4_096
 #: A threshold below which clean labelled documents would be lost is not taken.
 KEEP_CLEAN = 0.995
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: int = 1, trees: int = 64) -> tuple[Forest, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: int = 1, trees: int = 100) -> tuple[Forest, float]:
     """A forest and the score from which on a document is rejected.
 
     The forest sees at most FOREST_ROWS labelled documents marked good, so that
@@ -188,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = measured.join(own, "_id").checkpoint()  # texts are measured where they are read, and once for both passes below
     first = told.where(F.col("_label") == good).select("_id", *rates()).orderBy(F.xxhash64("_id"), "_id").limit(FOREST_ROWS).drop("_id")
     x = np.array([tuple(r) for r in first.collect()], float).reshape(-1, len(RATES))
-    forest = Forest(x, trees)
+    extent = told.select(*rates()).agg(*[F.min(r).alias(f"low_{r}") for r in RATES], *[F.max(r).alias(f"high_{r}") for r in RATES]).first()
+    low, high = (np.array([0.0 if extent[f"{side}_{r}"] is None else extent[f"{side}_{r}"] for r in RATES]) for side in ("low", "high"))
+    forest = Forest(x, low, high, trees)
     steps = forest_score(told, forest).groupBy(F.floor(F.col("anomaly") * 1000).cast("int").alias("s"), (F.col("_label") == good).alias("g")).count().collect()
     good_n, bad_n = np.zeros(1002), np.zeros(1002)
     for s, g, n in steps:
