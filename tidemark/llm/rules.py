@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.textcore import SPACE, Texts, Words, attach, shared_dir, windows
+from tidemark.llm.textcore import SPACE, Texts, Words, attach, shared_dir, tune, windows, without
 
 #: Symbols that prose rarely has; fixed by the rule's definition.
 SYMBOLS = b"#*$%&|<>"
@@ -154,8 +154,6 @@ class Forest:
 
 def forest_score(df: DataFrame, forest: Forest, out: str = "anomaly") -> DataFrame:
     """df (with the COUNTS) with the forest's score."""
-    from tidemark.llm.textcore import tune, without
-
     tune(df.sparkSession)
     df = without(df, [out])
     names = df.columns
@@ -182,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The forest sees at most FOREST_ROWS labelled documents marked good, so that
     what is unlike them is isolated early.  The threshold is calibrated on all
-    labelled rows: of the scores that keep at least KEEP_CLEAN of the good rows
+    labelled rows that pass the base rule: of the scores that keep at least KEEP_CLEAN of the good rows
     the one with the best balanced accuracy.  Scores are counted in steps of
     0.001, so the driver gets at most 2,000 counts.  Without labelled rows of
     both kinds nothing is rejected.
@@ -196,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     extent = told.select(*rates()).agg(*[F.min(r).alias(f"low_{r}") for r in RATES], *[F.max(r).alias(f"high_{r}") for r in RATES]).first()
     low, high = (np.array([0.0 if extent[f"{side}_{r}"] is None else extent[f"{side}_{r}"] for r in RATES]) for side in ("low", "high"))
     forest = Forest(x, low, high, trees)
-    steps = forest_score(told, forest).groupBy(F.floor(F.col("anomaly") * 1000).cast("int").alias("s"), (F.col("_label") == good).alias("g")).count().collect()
+    steps = forest_score(told, forest).where(~base_rule()).groupBy(F.floor(F.col("anomaly") * 1000).cast("int").alias("s"), (F.col("_label") == good).alias("g")).count().collect()
     good_n, bad_n = np.zeros(1002), np.zeros(1002)
     for s, g, n in steps:
         (good_n if g else bad_n)[s] += n
@@ -210,6 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def apply_rules(docs: DataFrame, forest: Forest, threshold: float, text_col: str = "text") -> DataFrame:
     """docs with the COUNTS, anomaly, base_failed and kept (columns of the same names are replaced)."""
-    out = forest_score(statistics(docs, text_col), forest).drop("base_failed", "kept")
-    failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < threshold))
+    out = without(forest_score(statistics(docs, text_col), forest), ["base_failed", "kept"])
+    return out.withColumn("base_failed", base_rule()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
+
+
+def base_rule() -> Column:
+    """Fewer than 50 words, or over half of them within repeated 3-word windows."""
+    return (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
