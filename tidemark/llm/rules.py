@@ -120,7 +120,7 @@ class Forest:
     split off from them too, and what has it is isolated at once.
     """
 
-    def __init__(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 100, subsample: int = 256, seed: int = 7):
+    def __init__(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 300, subsample: int = 1024, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.size = min(subsample, len(x)) or 1
         self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)] if len(x) else x, low, high, 0, math.ceil(math.log2(max(self.size, 2))), rng) for _ in range(trees)]
@@ -175,7 +175,7 @@ FOREST_ROWS = 4_096
 KEEP_CLEAN = 0.995
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: int = 1, trees: int = 100) -> tuple[Forest, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: int = 1, trees: int = 300) -> tuple[Forest, float]:
     """A forest and the score from which on a document is rejected.
 
     The forest sees at most FOREST_ROWS labelled documents marked good, so that
