@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, pii, ppm, pu, rules, substrings
+from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ppm": op2_ppm,
@@ -78,6 +82,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_pii": op7_pii,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_minhash": op10_minhash,
 }
 
 SQL: dict[str, str] = {}
