@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.textcore import size_bytes, tune
 
-#: Bytes of input that a bucket and a part stand for.
-BUCKET_BYTES = 6 << 20
-PART_BYTES = 8 << 20
+#: Bytes of input, as the optimiser reckons them, that a bucket and a part stand for.
+BUCKET_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 
 Row = tuple[int, int, int, bytes, bytes]
 
@@ -37,7 +37,7 @@ class Exchange:
         size = size_bytes(df, text_col)
         self.buckets = max(least, -(-size // bucket_bytes))
         self.parts = max(24, -(-size // part_bytes))
-        self.partitions = max(24, self.buckets // 2)
+        self.partitions = self.buckets
         keys = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType, T.BinaryType))]
         self.docs = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")).repartition(self.partitions, "_bucket")
         self.text = self.docs.columns.index(text_col)
