@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, substrings
+from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.read(spark, warc.write(_table(spark, sf_dir, "pages")))
+    return out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     numbers = [pii.number_of("base_spans", k).alias(f"n_{k}") for k in pii.BASE]
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash": op10_minhash,
