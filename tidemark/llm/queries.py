@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, substrings, warc
+from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, secret_scan, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *numbers, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_scan.scan(docs, model, path_col="source")
+    return found.select("doc_id", "word_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "secret")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substrings.drop_repeats(docs)
@@ -87,6 +94,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
+    "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash": op10_minhash,
 }
