@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, secret_scan, substrings, warc
+from tidemark.llm import bpe, decontam, minhash, pii, ppm, pu, rules, secret_scan, sql, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,4 +99,9 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontamination": sql.DECONTAMINATION,
+    "op6_warc": sql.WARC,
+    "op9_substring_dedup": sql.SUBSTRINGS,
+    "op10_minhash": sql.MINHASH,
+}
