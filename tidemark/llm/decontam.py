@@ -96,8 +96,12 @@ def as_keys(rows: np.ndarray) -> np.ndarray:
 
 
 def keys(seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """First ``width`` word ids of the suffixes at ``at``, as strings that sort like them."""
-    return as_keys(seq[at[:, None] + np.arange(width)])
+    """First ``width`` word ids of the suffixes at ``at``, as strings that sort like them.
+
+    A 0 (the end of a text, or a word that no test has) ends a suffix.
+    """
+    rows = seq[at[:, None] + np.arange(width)]
+    return as_keys(rows * np.logical_and.accumulate(rows > 0, axis=1))
 
 
 class Shard:

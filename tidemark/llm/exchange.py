@@ -38,8 +38,11 @@ class Exchange:
         self.buckets = max(least, -(-size // bucket_bytes))
         self.parts = max(24, -(-size // part_bytes))
         self.partitions = self.buckets
+        self.key = "_bucket"
+        while self.key in {c.lower() for c in df.columns}:
+            self.key = "_" + self.key
         keys = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType, T.BinaryType))]
-        self.docs = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")).repartition(self.partitions, "_bucket")
+        self.docs = df.withColumn(self.key, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")).repartition(self.partitions, self.key)
         self.text = self.docs.columns.index(text_col)
 
     def ask(self, work: Callable[[pa.Table], Iterator[Row]], answers: DataFrame | None = None) -> DataFrame:
@@ -51,7 +54,7 @@ class Exchange:
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "part", "bucket", "keys", "notes"])
 
         if answers is None:
-            return self.docs.groupBy("_bucket").applyInArrow(lambda t: rows(work(t)), schema)
+            return self.docs.groupBy(self.key).applyInArrow(lambda t: rows(work(t)), schema)
         return self._with(answers, lambda t, a: rows(work(t, a)), schema)
 
     def answer(self, requests: DataFrame, work: Callable[[int, int, list[bytes], list[bytes]], list[bytes]]) -> DataFrame:
@@ -74,7 +77,7 @@ class Exchange:
                 told.setdefault(kind, []).append(data)
             return work(left, told)
 
-        return self.docs.groupBy("_bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
+        return self.docs.groupBy(self.key).cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:

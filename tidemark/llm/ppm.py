@@ -186,7 +186,7 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
     tune(df.sparkSession)
     low = df.sparkSession.sparkContext.broadcast(low_levels(*_lower_orders(df, text_col, "_train")))
     x = Exchange(df, text_col)
-    parts, text, flag = x.parts, x.text, x.docs.columns.index("_train")
+    parts, text, flag, own_bucket = x.parts, x.text, x.docs.columns.index("_train"), x.key
 
     def slices(t: pa.Table):
         texts, train = Texts.of(t.column(text)).lower(), np.asarray(t.column(flag)).astype(bool)
@@ -217,7 +217,7 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
         return merge(words), (part[by], g[by], n[by])
 
     def ask(t: pa.Table):
-        bucket = t.column("_bucket")[0].as_py()
+        bucket = t.column(own_bucket)[0].as_py()
         (w, wn), (part, g, gn) = tallies(t)
         for p, a, b in ranges(part_of(w, parts), parts):
             yield WORDS, p, bucket, pack_sorted(w[a:b]), pack_numbers(wn[a:b])

@@ -117,7 +117,8 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 3) -
 
 def scan(df: DataFrame, model: PipelineModel, text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate: df's columns less the text, word_no, candidate, before, score and secret (score from 0.5 on)."""
-    found = candidates(df, text_col, path_col)
-    keep = [f"`{c}`" for c in found.columns if c not in ("path", "word", "before2", "after", "word_no", "candidate", "before", "score", "secret")]
-    scored = model.transform(with_features(found)).withColumn("score", vector_to_array("_probability")[1])
-    return scored.select(*keep, "word_no", "candidate", "before", "score", (F.col("score") >= 0.5).alias("secret"))
+    outputs = {"word_no", "candidate", "before", "score", "secret"}
+    kept = [c for c in df.columns if c != text_col and c.lower() not in outputs]
+    own = df.select(F.col(f"`{text_col}`").alias("_text"), (F.col(f"`{path_col}`") if path_col else F.lit(None)).cast("string").alias("_source"), *[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(kept)])
+    scored = model.transform(with_features(candidates(own, "_text", "_source"))).withColumn("score", vector_to_array("_probability")[1])
+    return scored.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(kept)], "word_no", "candidate", "before", "score", (F.col("score") >= 0.5).alias("secret"))

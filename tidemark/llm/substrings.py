@@ -124,17 +124,17 @@ def drop_repeats(df: DataFrame, text_col: str = "text", window: int = 35, out_co
     """df with n_words, n_removed and ``out_col``: the words outside repeats of ``window`` words, joined by one space."""
     df = without(df, ["n_words", "n_removed", out_col])
     x = Exchange(df, text_col)
-    parts, text = x.parts, x.text
+    parts, text, own_bucket = x.parts, x.text, x.key
 
     def ask_blocks(t):
-        bucket = t.column("_bucket")[0].as_py()
+        bucket = t.column(own_bucket)[0].as_py()
         for p, keys, notes in Bucket(t.column(text), window, parts).ask_blocks():
             yield BLOCKS, p, bucket, keys, notes
 
     def ask_windows(t, told):
         if not t.num_rows:
             return
-        bucket = t.column("_bucket")[0].as_py()
+        bucket = t.column(own_bucket)[0].as_py()
         for p, keys, notes in Bucket(t.column(text), window, parts).ask_windows(joined(told.get(BLOCKS, []))):
             yield WINDOWS, p, bucket, keys, notes
 
@@ -162,7 +162,7 @@ def drop_repeats(df: DataFrame, text_col: str = "text", window: int = 35, out_co
                 kept.append(b" ".join(own))
         cat = lambda c: pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64())
         made = [cat(n_words), cat(n_removed), pa.array(kept, pa.binary()).cast(pa.string())]
-        return pa.Table.from_arrays([*t.drop_columns(["_bucket"]).columns, *made], names=names)
+        return pa.Table.from_arrays([*t.drop_columns([own_bucket]).columns, *made], names=names)
 
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out_col, T.StringType())])
     names = schema.names
