@@ -1,8 +1,9 @@
 """Connected components of a graph held as a table of edges.
 
 Rounds of hooking and contraction: every vertex takes the least of itself and
-its neighbours as parent, parents are followed once more, and edges are
-rewritten to parents until none joins two of them.  Only minima are aggregated,
+its neighbours as parent, parents are followed to the roots by doubling, and
+edges are rewritten to roots until none joins two of them.  A root is less than
+its neighbours, so each round leaves half of the vertices at most.  Only minima are aggregated,
 so a vertex with very many neighbours is pre-aggregated where its edges lie, and
 nothing is collected.  Rounds are checkpointed in the shared folder.
 """
@@ -26,8 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"))
-        far = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hook = hook.join(far, "p", "left").select("v", F.coalesce("pp", "p").alias("p")).checkpoint()
+        moved = True
+        while moved:
+            far = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            step = hook.join(far, "p").select("v", "p", "pp").checkpoint()
+            moved = not step.where("p <> pp").isEmpty()
+            hook = step.select("v", F.col("pp").alias("p"))
         if labels is None:
             labels = hook.select("v", F.col("p").alias("root"))
         else:
