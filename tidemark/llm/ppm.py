@@ -65,10 +65,20 @@ def codes(texts: Texts, order: int) -> np.ndarray:
     return out[padded[order:] != BEFORE]
 
 
-def tally(train: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of both in ascending order, with their counts in the first."""
-    a, n = np.unique(train, return_counts=True)
-    u = np.union1d(a, other)
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order."""
+    a = np.sort(a)
+    return a[group_starts(a)]
+
+
+def tally(key: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, with the number of times that they were learnt."""
+    train = np.sort(key[learnt])
+    first = group_starts(train)
+    a, n = train[first], np.diff(np.append(first, len(train)))
+    if learnt.all():
+        return a, n
+    u = distinct(np.concatenate([a, key[~learnt]]))
     out = np.zeros(len(u), np.int64)
     out[np.searchsorted(u, a)] = n
     return u, out
@@ -204,14 +214,13 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
     def deal(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The part of each gram, by the last three bytes of its context; the order that sorts them by part and gram."""
         part = part_of(mix((g >> np.uint64(8)) & mask(3)), parts)
-        return part, np.argsort(part, kind="stable")
+        return part, np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
 
     def tallies(t: pa.Table):
         words, contexts = [], []
         for _, _, own, train in slices(t):
             for made, (key, doc) in ((words, word_hashes(own)), (contexts, grams(own))):
-                learnt = train[doc]
-                made.append(tally(key[learnt], key[~learnt]))
+                made.append(tally(key, train[doc]))
         g, n = merge(contexts)
         part, by = deal(g)
         return merge(words), (part[by], g[by], n[by])
@@ -240,24 +249,27 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
         n = t.num_rows
         n_tokens, n_known, counts, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         if n:
-            own_words = np.unique(np.concatenate([word_hashes(own)[0] for _, _, own, _ in slices(t)]))
-            found = np.concatenate([unpack_numbers(b[16:]) for b in told[WORDS]])
-            g = np.unique(np.concatenate([np.unique(grams(own)[0]) for _, _, own, _ in slices(t)]))
-            p = np.empty(len(g))
-            p[deal(g)[1]] = np.concatenate([np.frombuffer(b, "<f4") for b in told[CONTEXTS]])
+            # each slice is sorted once, as (key, text), and read twice: for the distinct keys, then for the sums
+            held = []
             for a, b, own, _ in slices(t):
-                h, doc = word_hashes(own)
-                c = found[np.searchsorted(own_words, h)]
-                n_tokens[a:b] = np.bincount(doc, minlength=b - a)
-                n_known[a:b] = np.bincount(doc[c > 0], minlength=b - a)
-                counts[a:b] = np.bincount(doc, np.log10(c + 1.0), minlength=b - a)
                 code, doc = grams(own)
                 key = code << np.uint64(16) | doc.astype(np.uint64)
                 key.sort()
                 code = key >> np.uint64(16)
                 first = group_starts(code)
-                each = np.repeat(p[np.searchsorted(g, code[first])], np.diff(np.append(first, len(code))))
-                total[a:b] = np.bincount((key & mask(2)).astype(np.int64), each, minlength=b - a)
+                held.append((a, b, code[first], first, (key & mask(2)).astype(np.uint16), word_hashes(own)))
+            own_words = distinct(np.concatenate([x[5][0] for x in held]))
+            found = np.concatenate([unpack_numbers(x[16:]) for x in told[WORDS]])
+            g = distinct(np.concatenate([x[2] for x in held]))
+            p = np.empty(len(g))
+            p[deal(g)[1]] = np.concatenate([np.frombuffer(x, "<f4") for x in told[CONTEXTS]])
+            for a, b, code, first, doc, (h, word_doc) in held:
+                c = found[np.searchsorted(own_words, h)]
+                n_tokens[a:b] = np.bincount(word_doc, minlength=b - a)
+                n_known[a:b] = np.bincount(word_doc[c > 0], minlength=b - a)
+                counts[a:b] = np.bincount(word_doc, np.log10(c + 1.0), minlength=b - a)
+                each = np.repeat(p[np.searchsorted(g, code)], np.diff(np.append(first, len(doc))))
+                total[a:b] = np.bincount(doc, each, minlength=b - a)
         return pa.Table.from_arrays([*(t.column(c) for c in kept), pa.array(n_tokens), pa.array(n_known), pa.array(counts), pa.array(total)], names=schema.names)
 
     answers = x.answer(x.ask(ask), decide)
