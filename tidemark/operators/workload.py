@@ -72,3 +72,26 @@ def reachable(nodes: DataFrame) -> DataFrame:
 def candidate_order(backends: DataFrame, guess: str | None) -> DataFrame:
     """Backends (addr, pos) in the order of trial: the guess first, then as configured."""
     return backends.withColumn("_first", F.col("addr") == F.lit(guess)).orderBy(F.desc_nulls_last("_first"), "pos").drop("_first")
+
+
+def series(spark: SparkSession, n: int, base: float, amplitude: float, jitter: float, seed: int = 1) -> DataFrame:
+    """(t, value): a wave with scatter, never below 0, rounded to two places."""
+    wave = F.lit(base) + F.lit(amplitude) * F.sin(F.col("id") / 6.0) + (_spread(F.col("id"), seed, 2001) / 1000.0 - 1) * jitter
+    return spark.range(n).select(F.col("id").alias("t"), F.round(F.greatest(F.lit(0.0), wave), 2).alias("value"))
+
+
+def random_history(spark: SparkSession, histories: int, operations: int, seed: int = 42) -> DataFrame:
+    """Histories of sequential operations with true results (all VALID): rows as ``operators.history`` takes them.
+
+    Results follow from the last write of the key, so they are taken with a window.
+    """
+    from pyspark.sql import Window
+
+    i = F.col("id") % operations
+    kind = F.element_at(F.array(F.lit("PUT"), F.lit("GET"), F.lit("DELETE")), (_spread(F.col("id"), seed, 3) + 1).cast("int"))
+    rows = spark.range(histories * operations).select(F.floor(F.col("id") / operations).alias("history_id"), "id", (i % 3).alias("client"), kind.alias("kind"), F.concat(F.lit("k"), _spread(F.col("id"), seed + 1, 3).cast("string")).alias("key"), F.concat(F.lit("v"), _spread(F.col("id"), seed + 2, 1000).cast("string")).alias("_v"), (i * 2).alias("invoke"), (i * 2 + 1).alias("complete"))
+    before = Window.partitionBy("history_id", "key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") != "GET", F.struct("kind", "_v")), ignorenulls=True).over(before)
+    told = rows.withColumn("_last", last)
+    found = F.coalesce((F.col("kind") == "GET") & (F.col("_last.kind") == "PUT"), F.lit(False))
+    return told.select("history_id", "id", "client", "kind", "key", F.when(F.col("kind") == "PUT", F.col("_v")).otherwise("").alias("value"), "invoke", "complete", F.lit("OK").alias("outcome"), found.alias("found"), F.when(found, F.col("_last._v")).otherwise("").alias("result"), F.lit("").alias("err"))
