@@ -124,8 +124,8 @@ def _own(word: str) -> tuple[str, str, int]:
 
 
 def word_features(words: list[str]) -> list[list[int]]:
-    """Feature slots of each word of a segment."""
-    own = [_own(w) for w in words]
+    """Feature slots of each word of a segment, by its first 64 characters."""
+    own = [_own(w[:64]) for w in words]
     none = ("<>", "", 0)
     out = []
     for i, (s, t, d) in enumerate(own):
@@ -295,8 +295,11 @@ def find(texts: Texts, field: Field) -> list[list[tuple[str, int, int]]]:
     segments = [[words.buf[s:e].tobytes().decode() for s, e in zip(words.starts[x:y].tolist(), words.ends[x:y].tolist(), strict=True)] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     size = np.array([len(s) for s in segments])
     order = np.argsort(size, kind="stable")  # segments of like length share a batch
-    for k in range(0, len(order), 512):
-        batch = order[k : k + 512]
+    k = 0
+    while k < len(order):  # as many as fit into so many padded words, one at least
+        most = size[order[k : k + 512]]
+        n = max(1, int((most * np.arange(1, len(most) + 1) <= 50_000).sum()))
+        batch, k = order[k : k + n], k + n
         for s, labels in zip(batch.tolist(), field.viterbi([word_features(segments[s]) for s in batch.tolist()]), strict=True):
             if not labels.any():
                 continue
