@@ -62,6 +62,10 @@ class Tests:
         self.is_window = (left >= width) | (self.place == 0)
         self.span = np.minimum(left, width)
         self.keys = keys(self.seq, at, width)
+        w = np.flatnonzero(self.is_window)  # a window that its item repeats is searched once
+        w = w[np.lexsort((self.keys[w], doc[w]))]
+        same = (self.keys[w][1:] == self.keys[w][:-1]) & (doc[w][1:] == doc[w][:-1])
+        self.is_window[w[1:][same]] = False
         high = self.seq[at[:, None] + np.arange(width)]
         high[np.arange(width) >= self.span[:, None]] = 0xFFFFFFFF  # after every continuation
         self.ends = as_keys(high)
