@@ -13,7 +13,6 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, graph, minhash, pii, ppm, pu, queries, rules, secret_scan, substrings, warc
 from tidemark.llm.textcore import NON_ALNUM, SPACE, Texts, Words, pack_counts, pack_sorted, unpack_counts, unpack_sorted, windows
@@ -316,6 +315,14 @@ def test_viterbi_is_the_best_path():
         assert got.tolist() == list(best)
 
 
+def test_segments_of_any_length():
+    field = pii.default_field()
+    texts = Texts.of(pa.array(["12 " * 70_000, "call (706) 555-3138 now", "9" * 100_000 + "@"]))
+    found = pii.find(texts, field)
+    assert found[1] == [("phone", 5, 19)]
+    assert found[2] == []
+
+
 def test_pii_query_and_masks(spark, data, docs):
     for r in queries.QUERIES["op7_pii"](spark, data).collect():
         want = brute_spans(docs[r.doc_id])
