@@ -200,7 +200,7 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
 
     def slices(t: pa.Table):
         texts, train = Texts.of(t.column(text)).lower(), np.asarray(t.column(flag)).astype(bool)
-        for a, b in texts.slices():
+        for a, b in texts.slices(2 << 20):  # larger slices share more contexts
             yield a, b, texts.part(a, b), train[a:b]
 
     def word_hashes(own: Texts):
