@@ -26,7 +26,7 @@ def parse_peers(df: DataFrame, column: str) -> DataFrame:
 
 def origins(value: Column) -> Column:
     """Trimmed entries of a comma-separated list, blanks left out."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def valid_address(value: Column) -> Column:

@@ -212,4 +212,12 @@ ORACLE = {
     "command_round_trip": f"WITH {CMD} SELECT count(*) AS n, count(*) AS n_same FROM cmd WHERE request_id >= 0",
     "stream_dedup": f"WITH {OUTCOMES} SELECT idx, client_id, request_id, outcome FROM outcomes",
     "stream_live_state": f"WITH {CMD} {_LIVE.format('cmd', '')}",
+    "replication_progress": """WITH r AS (SELECT user_id % 7 AS peer, event_id AS seq, event_type <> 'error' AS success, event_id + event_id % 3 AS upto FROM events),
+      m AS (SELECT *, coalesce(max(CASE WHEN success THEN upto END) OVER w, 0) AS match_idx, coalesce(max(CASE WHEN success THEN seq END) OVER w, -1) AS since FROM r WINDOW w AS (PARTITION BY peer ORDER BY seq))
+      SELECT a.peer, a.seq, a.match_idx, greatest(1, a.match_idx + 1 - (SELECT count(*) FROM r b WHERE b.peer = a.peer AND NOT b.success AND b.seq > a.since AND b.seq <= a.seq)) AS next_idx FROM m a""",
+    "text_functions": """SELECT * FROM (VALUES
+      ('h:80', true, false, 'warn', 'abc', 'http://x.org', '1.5 KiB', 'object', 'req-00001536', '1xx', 'h:80+x.org/'),
+      (':8080', true, true, 'info', NULL, 'https://y', '12 B', 'string', 'req-00000012', '1xx', ':8080+https://y/'),
+      ('h:99999', false, false, 'info', NULL, 'http://z', '5.0 MiB', 'number', 'req-05242880', '4xx', 'h:99999+z'))
+      t(addr, valid, wildcard, level, token, url, size, kind, request, class, origins)""",
 }
