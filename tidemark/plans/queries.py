@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codecs, text
 from tidemark.operators import dedup, history, invariants, kv, metrics, raftlog, runs, snapshots, workload
 from tidemark.sources import adapters as a
+from tidemark.sources import files
 from tidemark.streaming import logstream
 
 QUERIES = {}
@@ -672,8 +672,8 @@ def wal_round_trip(s, d):
 @query
 def wal_torn_tail(s, d):
     log = a.writes(s, d).select((F.col("client_id") % 16).alias("file"), "idx", "op", F.col("k").alias("key"), F.col("v").cast("string").alias("value"))
-    files = codecs.encode_log(log, ["file"], "idx")
-    cut = files.withColumn("content", F.expr("substring(content, 1, octet_length(content) - file)"))
+    logs = codecs.encode_log(log, ["file"], "idx")
+    cut = logs.withColumn("content", F.expr("substring(content, 1, octet_length(content) - file)"))
     return codecs.decode_log(cut).groupBy("file").agg(F.count_if(F.expr("status = 'OK'")).alias("n_ok"), F.count_if(F.expr("status = 'TORN'")).alias("n_torn"), F.count_if(F.expr("status = 'CORRUPT'")).alias("n_corrupt"))
 
 
@@ -706,8 +706,7 @@ def bloom_membership(s, d):
 
 def _log_files(s: SparkSession, d: str, n: int) -> str:
     """The log as files in the order of the index, as a log writer leaves them."""
-    told = s.conf.get("spark.checkpoint.dir", None)
-    base = told or "file://" + tempfile.mkdtemp(prefix="tidemark-log-")
+    base = files.shared_folder(s)
     folder = f"{base}/log-{uuid.uuid4().hex}"
     log = a.writes(s, d)
     log.repartitionByRange(n, "idx").sortWithinPartitions("idx").write.parquet(f"{folder}/files")

@@ -7,6 +7,8 @@ folder without its success marker, which no reader takes.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,16 @@ HISTORY = T.StructType(
 )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode alone."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def save_history(ops: DataFrame, path: str) -> None:
     """One JSON object per operation."""
     ops.select([f.name for f in HISTORY]).write.mode("error").json(path)
