@@ -9,8 +9,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Incomplete writes of which all subsets are tried; of more, only none and all.
 MOST_OPTIONAL = 12
@@ -117,13 +119,17 @@ def check_one(ops: list[dict], budget: int = BUDGET) -> str:
 
 
 def verdicts(ops: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(history_id, n_ops, verdict) by search; a history is one task's work, bounded by the budget."""
-    kind = dict(ops.dtypes)["history_id"]
+    """(history_id, n_ops, verdict) by search; a history is one row of one task's work, bounded by the budget."""
+    used = ["id", "kind", "key", "value", "invoke", "complete", "outcome", "found", "result"]
+    whole = ops.groupBy("history_id").agg(F.count("*").alias("n_ops"), F.collect_list(F.struct(*used)).alias("_ops"))
+    schema = T.StructType([whole.schema["history_id"], T.StructField("n_ops", T.LongType()), T.StructField("verdict", T.StringType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"history_id": [pdf["history_id"].iloc[0]], "n_ops": [len(pdf)], "verdict": [check_one(pdf.to_dict("records"), budget)]})
+    def run(batches):
+        for b in batches:
+            said = [check_one(own, budget) for own in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string())], names=schema.names)
 
-    return ops.groupBy("history_id").applyInPandas(run, f"history_id {kind}, n_ops long, verdict string")
+    return whole.mapInArrow(run, schema)
 
 
 def minimize_one(ops: list[dict], passes: int = 8, budget: int = BUDGET) -> list[dict]:
