@@ -5,7 +5,7 @@ as Parquet in the shared folder and read again as the next one's documents.  All
 stages but the last return the columns of documents.
 
 1. quality rules: documents that fail the base rules or the forest's verdict go
-2. near-duplicates: one document of each class stays
+2. near-duplicates: one document of each class stays (links from similarity 0.80 on)
 3. decontamination: documents with enough words in benchmark windows go
 4. personal data: spans are replaced by their kind, n_chars follows
 5. byte-level BPE: token ids, and whether they decode to the text's bytes
