@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import history
+from tidemark.sources import adapters
 
 QUERIES = entry.queries()
 
@@ -38,3 +40,16 @@ def test_every_order_is_a_peer(spark, duck, data):
     same(spark, duck, data, "synced_followers", f"{PEERS} SELECT cluster, count(*) FILTER (WHERE match_idx >= 700) + 1 AS n_synced, CAST(sum(greatest(700 - match_idx, 0)) AS BIGINT) AS total_lag FROM peers GROUP BY cluster")
     same(spark, duck, data, "commit_index", f"""{PEERS}, k AS (SELECT cluster, list_sort(list(match_idx), 'DESC')[len(list(match_idx)) // 2 + 1] AS kth FROM peers GROUP BY cluster)
       SELECT cluster, kth, CASE WHEN kth > cluster * 20 AND kth // 100 + 1 = cluster % 6 + 3 THEN kth ELSE cluster * 20 END AS commit_idx FROM k""")
+
+
+def test_every_violation_is_minimized(spark, data):
+    ops = {}
+    for r in adapters.history(spark, data).collect():
+        ops.setdefault(r.history_id, []).append(r.asDict())
+    got = {}
+    for r in QUERIES["minimized_histories"](spark, data).collect():
+        got.setdefault(r.history_id, []).append(r.asDict())
+    assert set(got) == {k for k, own in ops.items() if history.check_one(own) == "VIOLATION"} and max(got) >= 40
+    for k, small in got.items():
+        assert all(o in ops[k] for o in small) and history.check_one(small) == "VIOLATION"
+        assert all(history.check_one([x for x in small if x is not o]) != "VIOLATION" for o in small)

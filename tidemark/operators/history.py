@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,8 +133,10 @@ def verdicts(ops: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def minimize_one(ops: list[dict], passes: int = 8, budget: int = BUDGET) -> list[dict]:
     """Operations whose greedy removal would end the violation; the input if there is none."""
-    if check_one(ops, budget) != "VIOLATION":
-        return ops
+    return _shrunk(ops, passes, budget) if check_one(ops, budget) == "VIOLATION" else ops
+
+
+def _shrunk(ops: list[dict], passes: int, budget: int) -> list[dict]:
     for _ in range(passes):
         before = len(ops)
         for o in list(ops):
@@ -147,14 +148,20 @@ def minimize_one(ops: list[dict], passes: int = 8, budget: int = BUDGET) -> list
     return ops
 
 
-def minimized(ops: DataFrame, passes: int = 8) -> DataFrame:
-    """Histories that are violations, cut down to few operations."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        small = minimize_one(rows, passes) if check_one(rows) == "VIOLATION" else []
-        return pd.DataFrame(small, columns=pdf.columns)
+def minimized(ops: DataFrame, passes: int = 8, budget: int = BUDGET) -> DataFrame:
+    """Histories that are violations, cut down to few operations; tried for removal in order of invoke and id."""
+    whole = ops.groupBy("history_id").agg(F.collect_list(F.struct(*ops.columns)).alias("_ops"))
 
-    return ops.groupBy("history_id").applyInPandas(run, ops.schema)
+    def run(batches):
+        for b in batches:
+            schema = pa.schema(list(b.schema.field(1).type.value_type))
+            rows = []
+            for own in b.column(1).to_pylist():
+                if check_one(own, budget) == "VIOLATION":
+                    rows += _shrunk(sorted(own, key=lambda o: (o["invoke"], o["id"])), passes, budget)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return whole.mapInArrow(run, ops.schema)
 
 
 def report(verdict: DataFrame) -> DataFrame:
