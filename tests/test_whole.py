@@ -2,12 +2,14 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import history
+from tidemark.functions import codecs
+from tidemark.operators import history, snapshots
 from tidemark.sources import adapters
 
 QUERIES = entry.queries()
@@ -53,3 +55,20 @@ def test_every_violation_is_minimized(spark, data):
     for k, small in got.items():
         assert all(o in ops[k] for o in small) and history.check_one(small) == "VIOLATION"
         assert all(history.check_one([x for x in small if x is not o]) != "VIOLATION" for o in small)
+
+
+def test_every_text_is_cut(spark, duck, data):
+    rows = same(spark, duck, data, "chunk_offsets", """
+      SELECT doc_id, o AS "offset", least(1000, n - o) AS n_bytes, o + least(1000, n - o) >= n AS final
+      FROM (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 1000)) AS o FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents))""")
+    assert sum(r[2] for r in rows) == duck.execute("SELECT sum(strlen(text)) FROM documents").fetchone()[0]
+
+
+def test_every_chunk_is_checked(spark, duck, data):
+    receivers = {}
+    for (i,) in duck.execute("SELECT event_id FROM events ORDER BY event_id").fetchall():
+        part = b"part%d" % (i % 3)
+        receivers.setdefault(i // 30, []).append({"seq": i, "identity": str(i // 3), "offset": i % 3 * 5, "data": part, "total": 15, "checksum": codecs.crc32c_bytes(part) + (i % 50 == 1), "final": i % 3 == 2})
+    want = Counter(status for rows in receivers.values() for _, status, _ in snapshots.arrivals(rows))
+    got = {r.status: r.n for r in QUERIES["chunk_reassembly"](spark, data).collect()}
+    assert got == want and sum(got.values()) == duck.execute("SELECT count(*) FROM events").fetchone()[0] > 600

@@ -639,13 +639,13 @@ def operation_text(s, d):
 
 @query
 def chunk_offsets(s, d):
-    docs = a.table(s, d, "events").where("event_id < 200").select("event_id", (F.col("event_id") * 517 % 10000).alias("n"))
-    return snapshots.chunk_offsets(docs, F.col("n"), 1000).select("event_id", "offset", "n_bytes", "final")
+    docs = a.table(s, d, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    return snapshots.chunk_offsets(docs, F.col("n"), 1000).select("doc_id", "offset", "n_bytes", "final")
 
 
 @query
 def chunk_reassembly(s, d):
-    e = a.table(s, d, "events").where("event_id < 600")
+    e = a.table(s, d, "events")
     piece = F.col("event_id") % 3
     data = F.concat(F.lit("part"), piece.cast("string")).cast("binary")
     late = F.when(F.col("event_id") % 50 == 1, 1).otherwise(0)
