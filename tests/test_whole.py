@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.functions import codecs
 from tidemark.operators import history, snapshots
+from tidemark.plans.oracle import HIST
 from tidemark.sources import adapters
 
 QUERIES = entry.queries()
@@ -72,3 +73,27 @@ def test_every_chunk_is_checked(spark, duck, data):
     want = Counter(status for rows in receivers.values() for _, status, _ in snapshots.arrivals(rows))
     got = {r.status: r.n for r in QUERIES["chunk_reassembly"](spark, data).collect()}
     assert got == want and sum(got.values()) == duck.execute("SELECT count(*) FROM events").fetchone()[0] > 600
+
+
+def test_every_operation_is_told(spark, duck, data):
+    same(spark, duck, data, "operation_text", f"WITH {HIST} SELECT id, 'client ' || client || ' ' || kind || ' ' || key || '=' || value || ': ' || outcome AS description FROM hist")
+
+
+def test_every_key_is_probed(spark, duck, data):
+    n = duck.execute("SELECT count(*) FROM (SELECT DISTINCT year(l_shipdate), l_orderkey, l_linenumber FROM lineitem)").fetchone()[0]
+    assert [tuple(r) for r in QUERIES["bloom_membership"](spark, data).collect()] == [(n, n)]
+
+
+def test_own_filters_are_brute_force(spark):
+    keys = [(g, f"{g}-{i}") for g in range(2) for i in range(300)]
+    built = codecs.bloom_build(spark.createDataFrame(keys, "g int, key string"), "key", ["g"])
+    filters = {r.g: r for r in built.collect()}
+    asked = [(g, f"{h}-{i}") for g in range(3) for h in range(2) for i in range(0, 400, 3)]
+    got = {(r.g, r.p): r.may_contain for r in codecs.may_contain_own(built, spark.createDataFrame(asked, "g int, p string"), "p", ["g"], 3).collect()}
+
+    def brute(g, p):
+        f = filters.get(g)
+        return f is not None and all(f.filter[b // 8] >> 7 - b % 8 & 1 for b in codecs.probes(p.encode(), f.bits, f.hashes))
+
+    assert got == {(g, p): brute(g, p) for g, p in asked}
+    assert all(got[g, p] for g, p in asked if (g, p) in set(keys)) and not all(got.values())

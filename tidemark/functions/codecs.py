@@ -264,6 +264,26 @@ def may_contain(filters: DataFrame, probes_df: DataFrame, column: str) -> DataFr
     return both.withColumn("may_contain", test(F.col(column).cast("string"), "bits", "hashes", "filter")).drop("filter")
 
 
+def may_contain_own(filters: DataFrame, probes_df: DataFrame, column: str, groups: list[str], parts: int = 16) -> DataFrame:
+    """Probes with may_contain: each against the filter of its own group, false where the group has none.
+
+    Probes are dealt into ``parts`` a group, each with a copy of the group's filter.
+    """
+    schema = T.StructType([*probes_df.schema, T.StructField("may_contain", T.BooleanType())])
+
+    def run(own: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        own = own.drop(columns="_part")
+        if not len(f):
+            return own.assign(may_contain=False)
+        m, k = int(f["bits"].iloc[0]), int(f["hashes"].iloc[0])
+        bits = np.unpackbits(np.frombuffer(f["filter"].iloc[0], np.uint8))
+        return own.assign(may_contain=np.array([bits[probes(str(x).encode(), m, k)].all() for x in own[column]], bool))
+
+    dealt = probes_df.withColumn("_part", F.pmod(F.xxhash64(column), F.lit(parts)).cast("int"))
+    copies = filters.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.groupBy(*groups, "_part").cogroup(copies.groupBy(*groups, "_part")).applyInPandas(run, schema)
+
+
 def little_endian(data: Column, at: int, n: int) -> Column:
     """Unsigned number of n bytes (7 at most) from byte ``at`` (counted from 1)."""
     byte = lambda i: F.conv(F.hex(F.substring(data, at + i, 1)), 16, 10).cast("long")
