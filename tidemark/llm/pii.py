@@ -86,6 +86,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 LABELS = ["other", "phone", "iban", "ssn"]
 SLOTS = 1 << 13
+#: Words of more bytes are read in pieces.
+LONG = 64
 
 _RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^\x00-\x7f]+|(.)\1*", re.S)
 _TRIGGERS = {"tel", "phone", "call", "mobile", "fax", "ssn", "social", "security", "iban", "account", "konto", "number", "no", "nr", "contact"}
@@ -104,7 +106,7 @@ def core(word: str) -> tuple[int, int]:
 def shape(word: str) -> str:
     """Digits with their number (to 6), runs of letters as X or x, other signs as they are."""
     out = []
-    for m in _RUNS.finditer(word[:64]):
+    for m in _RUNS.finditer(word):
         s, c = m.group(), m.group()[0]
         out.append(f"d{min(len(s), 6)}" if "0" <= c <= "9" else "X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" or c > "\x7f" else c)
     return "".join(out)
@@ -124,8 +126,8 @@ def _own(word: str) -> tuple[str, str, int]:
 
 
 def word_features(words: list[str]) -> list[list[int]]:
-    """Feature slots of each word of a segment, by its first 64 characters."""
-    own = [_own(w[:64]) for w in words]
+    """Feature slots of each word of a segment; those of long words are not kept in memory."""
+    own = [_own(w) if len(w) <= LONG else _own.__wrapped__(w) for w in words]
     none = ("<>", "", 0)
     out = []
     for i, (s, t, d) in enumerate(own):
@@ -268,10 +270,28 @@ def default_field() -> Field:
 _ACTIVE = _table(b"0123456789@")
 
 
-def _active(texts: Texts, words: Words) -> np.ndarray:
+_PIECE = re.compile(rb"[0-9A-Za-z@().+-]+|[\x80-\xff]+")
+
+
+def _pieces(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words and the bounds of each text's own; long words are cut at signs that no number has, and where other scripts begin or end."""
+    starts, ends = words.starts, words.ends
+    n = np.ones(len(starts), np.int64)
+    cut = {}
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        cut[i] = np.array([m.span() for m in _PIECE.finditer(words.buf[starts[i] : ends[i]].tobytes())] or [(0, ends[i] - starts[i])]) + starts[i]
+        n[i] = len(cut[i])
+    before = np.concatenate(([0], np.cumsum(n)))
+    a, b = np.repeat(starts, n), np.repeat(ends, n)
+    for i, own in cut.items():
+        a[before[i] : before[i + 1]], b[before[i] : before[i + 1]] = own[:, 0], own[:, 1]
+    return a, b, before[words.bounds]
+
+
+def _active(texts: Texts, starts: np.ndarray) -> np.ndarray:
     """Words with a digit or @."""
     at = np.flatnonzero(_ACTIVE[texts.buf])
-    return np.unique(np.searchsorted(words.starts, at, side="right") - 1)
+    return np.unique(np.searchsorted(starts, at, side="right") - 1)
 
 
 def find(texts: Texts, field: Field) -> list[list[tuple[str, int, int]]]:
@@ -282,17 +302,18 @@ def find(texts: Texts, field: Field) -> list[list[tuple[str, int, int]]]:
     for i in some.tolist():
         out[i] = base_spans(texts.bytes(i).decode())
     words = Words(texts, SPACE)
-    active = _active(texts, words)
+    starts, ends, bounds = _pieces(words)
+    active = _active(texts, starts)
     if not len(active):
         return out
-    doc = words.doc()
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     new = np.concatenate(([True], (doc[active[1:]] != doc[active[:-1]]) | (active[1:] - active[:-1] > 2)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(active)) - 1
-    a = np.maximum(active[first] - 2, words.bounds[doc[active[first]]])
-    b = np.minimum(active[last] + 3, words.bounds[doc[active[first]] + 1])
+    a = np.maximum(active[first] - 2, bounds[doc[active[first]]])
+    b = np.minimum(active[last] + 3, bounds[doc[active[first]] + 1])
     points = np.concatenate(([0], np.cumsum((texts.buf & 0xC0) != 0x80)))
-    segments = [[words.buf[s:e].tobytes().decode() for s, e in zip(words.starts[x:y].tolist(), words.ends[x:y].tolist(), strict=True)] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    segments = [[words.buf[s:e].tobytes().decode() for s, e in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     size = np.array([len(s) for s in segments])
     order = np.argsort(size, kind="stable")  # segments of like length share a batch
     k = 0
@@ -306,7 +327,7 @@ def find(texts: Texts, field: Field) -> list[list[tuple[str, int, int]]]:
             i = int(doc[a[s]])
             for label, x, y in _runs(labels):
                 head, tail = core(segments[s][x])[0], core(segments[s][y - 1])[1]
-                lo, hi = words.starts[a[s] + x], words.starts[a[s] + y - 1]
+                lo, hi = starts[a[s] + x], starts[a[s] + y - 1]
                 start = int(points[lo] - points[texts.offs[i]]) + head
                 stop = int(points[hi] - points[texts.offs[i]]) + tail
                 if stop > start and not any(start < e and stop > b for _, b, e in out[i]):
