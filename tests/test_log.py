@@ -204,6 +204,8 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("a=1|2,,b=3|4",), ("",), (None,)], "x string")
     assert [r[:] for r in text.parse_peers(df, "x").collect()] == [("a", "1", "2"), ("b", "3", "4")]
     assert df.select(text.log_level(F.col("x"))).first()[0] == "info"
+    with pytest.raises(Exception, match="unknown value null"):
+        df.where("x is null").select(text.named(F.col("x"), {"q": 1})).collect()
     with pytest.raises(Exception, match="unknown value"):
         df.select(text.named(F.col("x"), {"q": 1})).collect()
 

@@ -14,7 +14,8 @@ def named(value: Column, names: dict, otherwise: Column | None = None) -> Column
     out = None
     for code, name in names.items():
         out = F.when(value == code, name) if out is None else out.when(value == code, name)
-    return out.otherwise(F.raise_error(F.concat(F.lit("unknown value "), value.cast("string"))) if otherwise is None else otherwise)
+    told = F.concat(F.lit("unknown value "), F.coalesce(value.cast("string"), F.lit("null")))
+    return out.otherwise(F.raise_error(told) if otherwise is None else otherwise)
 
 
 def parse_peers(df: DataFrame, column: str) -> DataFrame:

@@ -42,7 +42,7 @@ logs AS (
     SELECT CAST(o_custkey % 3 AS INTEGER) AS node_id, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderdate, o_orderkey) AS idx,
       CAST(year(o_orderdate) AS BIGINT) AS term, o_orderkey FROM orders) WHERE o_orderkey % 101 <> 0)
 """
-PEERS = "peers AS (SELECT CAST(o_custkey % 20 AS INTEGER) AS cluster, o_orderkey AS peer, o_orderkey * 7 % 1000 AS match_idx FROM orders WHERE o_orderkey % 97 < 5)"
+PEERS = "peers AS (SELECT CAST(o_custkey % 20 AS INTEGER) AS cluster, o_orderkey AS peer, o_orderkey * 7 % 1000 AS match_idx FROM orders)"
 
 OBS = """
 obs AS (
@@ -206,8 +206,8 @@ ORACLE = {
     "outcome_classes": "SELECT CASE WHEN event_id % 4 < 2 THEN 'OK' WHEN event_id % 4 < 3 THEN 'INCOMPLETE' ELSE 'FAILED' END AS outcome, count(*) AS n FROM events GROUP BY 1",
     "peer_list_parse": "SELECT trim(split_part(p, '=', 1)) AS id, split_part(split_part(p, '=', 2), '|', 1) AS grpc_addr, trim(split_part(split_part(p, '=', 2), '|', 2)) AS http_addr FROM (SELECT trim(unnest(string_split('n1=h1:9090|h1:8080, n2=h2:9090|h2:8080,,n3=h3:9090|h3:8080', ','))) AS p) WHERE p <> ''",
     "result_codes": f"WITH {OUTCOMES} SELECT CASE outcome WHEN 'CONFLICT' THEN 1 WHEN 'STALE' THEN 2 WHEN 'EMPTY_KEY' THEN 3 ELSE 0 END AS code, count(*) AS n FROM outcomes GROUP BY 1",
-    "operation_text": f"WITH {HIST} SELECT id, 'client ' || client || ' ' || kind || ' ' || key || '=' || value || ': ' || outcome AS description FROM hist WHERE history_id < 50",
-    "chunk_offsets": "SELECT event_id, o AS offset, least(1000, n - o) AS n_bytes, o + least(1000, n - o) >= n AS final FROM (SELECT event_id, n, unnest(range(0, greatest(n, 1), 1000)) AS o FROM (SELECT event_id, event_id * 517 % 10000 AS n FROM events WHERE event_id < 200))",
+    "operation_text": f"WITH {HIST} SELECT id, 'client ' || client || ' ' || kind || ' ' || key || '=' || value || ': ' || outcome AS description FROM hist",
+    "chunk_offsets": "SELECT doc_id, o AS offset, least(1000, n - o) AS n_bytes, o + least(1000, n - o) >= n AS final FROM (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 1000)) AS o FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents))",
     "wal_round_trip": f"WITH {CMD} SELECT 'OK' AS status, op, count(*) AS n, CAST(sum(length(k)) AS BIGINT) AS key_bytes, CAST(sum(coalesce(length(CAST(v AS VARCHAR)), 0)) AS BIGINT) AS value_bytes FROM cmd GROUP BY op",
     "command_round_trip": f"WITH {CMD} SELECT count(*) AS n, count(*) AS n_same FROM cmd WHERE request_id >= 0",
     "stream_dedup": f"WITH {OUTCOMES} SELECT idx, client_id, request_id, outcome FROM outcomes",
