@@ -162,18 +162,26 @@ def test_wal_tails():
 
 
 def test_state_codec():
-    log = [(5, 1, b"a"), (6, 2, b""), (7, 2, b"ccc")]
-    data = codecs.encode_state(3, "n1", log)
-    assert codecs.decode_state(data) == (3, "n1", log)
-    for bad in (data[:-1], b"XXXX" + data[4:], data[:30] + b"\xff" + data[31:], codecs.encode_state(1, "", log), codecs.encode_state(9, "", [(1, 1, b""), (3, 1, b"")]), codecs.encode_state(9, "", [(1, 2, b""), (2, 1, b"")])):
+    log, magic = [(5, 1, b"a"), (6, 2, b""), (7, 2, b"ccc")], b"eightbyt"
+    data = codecs.encode_state(3, "n1", log, magic)
+    assert codecs.decode_state(data, magic) == (3, "n1", log)
+    made = [codecs.encode_state(t, "", entries, magic) for t, entries in ((1, log), (9, [(1, 1, b""), (3, 1, b"")]), (9, [(1, 2, b""), (2, 1, b"")]), (9, [(0, 1, b"")]))]
+    for bad in (data[:-1], b"XXXX" + data[4:], data[:30] + b"\xff" + data[31:], b"", data + b"x", *made):
         with pytest.raises(ValueError):
-            codecs.decode_state(bad)
+            codecs.decode_state(bad, magic)
+    with pytest.raises(ValueError):
+        codecs.encode_state(1, "v" * 5000, [], magic)
+    with pytest.raises(ValueError):
+        codecs.encode_state(1, "", [(1, 1, bytes((1 << 20) + 1))], magic)
 
 
 def test_command_codec():
     data = codecs.encode_command("c", 7, "PUT", b"k", b"v")
     assert codecs.decode_command(data) == ("c", 7, "PUT", b"k", b"v")
-    for bad in (b"", data[:5], data + b"x", b"\x09" + data[1:]):
+    # operation, client length, client, request, key length, key, value length, value
+    assert data == b"\x01" + b"\x01\0\0\0c" + b"\x07\0\0\0\0\0\0\0" + b"\x01\0\0\0k" + b"\x01\0\0\0v"
+    assert codecs.decode_command(codecs.encode_command("", 0, "DELETE", b"k", b"")) == ("", 0, "DELETE", b"k", b"")
+    for bad in (b"", data[:5], data + b"x", b"\x09" + data[1:], data[:1] + b"\xff\xff" + data[3:], data[:-1]):
         with pytest.raises(ValueError):
             codecs.decode_command(bad)
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Incomplete writes of which all subsets are tried; of more, only none and all.
 MOST_OPTIONAL = 12
@@ -55,6 +56,20 @@ def optional_subsets(k: int) -> list[int]:
     return list(range(1 << k)) if k <= MOST_OPTIONAL else [0, (1 << k) - 1]
 
 
+def subsets(numbers: DataFrame, k: str = "k") -> DataFrame:
+    """numbers with a row for each of their ``optional_subsets``: subset."""
+    table = {n: optional_subsets(n) for n in range(MOST_OPTIONAL + 1)}
+    made = numbers.sparkSession.createDataFrame(list(table.items()), "_k int, _s array<long>")  # 2 ** 13 numbers in all
+    some = numbers.join(F.broadcast(made), F.col(k) == F.col("_k"), "left")
+    every = F.pow(F.lit(2), F.col(k)).cast("long") - 1
+    return some.withColumn("subset", F.explode(F.coalesce("_s", F.array(F.lit(0).cast("long"), every)))).drop("_k", "_s")
+
+
+def by_invoke(ops: DataFrame) -> DataFrame:
+    """Operations of each history in the order in which they began."""
+    return ops.orderBy("history_id", "invoke", "id")
+
+
 def stale_gets(ops: DataFrame) -> DataFrame:
     """Gets that miss the latest write of their key that completed before they began.
 
@@ -73,11 +88,21 @@ def stale_gets(ops: DataFrame) -> DataFrame:
     return per.where(~F.col("_some") & ~(~F.col("_any") & ~F.col("found"))).select("history_id", "get_id")
 
 
-def check_one(ops: list[dict], budget: int = BUDGET) -> str:
-    """VALID, VIOLATION or INCONCLUSIVE for one history against a map of keys to values."""
+def check(ops: list[dict], budget: int = BUDGET) -> dict:
+    """The verdict on one history against a map of keys to values, with what led to it.
+
+    verdict: VALID, VIOLATION or INCONCLUSIVE; states: search steps; witness: ids in
+    an order that is right, or the longest that was found; failing: the get that
+    could not follow it, with what the map held then (expected_found, expected_value).
+    """
     required = sorted((o for o in ops if o["outcome"] == "OK"), key=lambda o: (o["invoke"], o["id"]))
     optional = sorted((o for o in ops if o["outcome"] == "INCOMPLETE" and o["kind"] != "GET"), key=lambda o: (o["invoke"], o["id"]))
     left, spent = budget, False
+    best: dict = {"witness": [], "failing": None, "expected_found": None, "expected_value": None}
+
+    def told(verdict: str, **more) -> dict:
+        return {"verdict": verdict, "n_completed": len(required), "states": budget - left, **best, **more}
+
     for chosen in optional_subsets(len(optional)):
         todo = required + [o for i, o in enumerate(optional) if chosen >> i & 1]
         waits = [0] * len(todo)
@@ -86,11 +111,11 @@ def check_one(ops: list[dict], budget: int = BUDGET) -> str:
                 if i != j and p["outcome"] == "OK" and p["complete"] < o["invoke"]:
                     waits[i] |= 1 << j
         whole = (1 << len(todo)) - 1
-        tried, stack = set(), [(0, ())]
+        tried, stack = set(), [(0, (), ())]
         while stack:
-            done, state = stack.pop()
+            done, state, order = stack.pop()
             if done == whole:
-                return "VALID"
+                return told("VALID", witness=[todo[i]["id"] for i in order], failing=None, expected_found=None, expected_value=None)
             if (done, state) in tried:
                 continue
             if left == 0:
@@ -105,32 +130,46 @@ def check_one(ops: list[dict], budget: int = BUDGET) -> str:
                     continue
                 if o["kind"] == "GET":
                     if (o["key"] in values) != bool(o["found"]) or (o["found"] and values[o["key"]] != o["result"]):
+                        if best["failing"] is None or len(order) >= len(best["witness"]):
+                            best = {"witness": [todo[x]["id"] for x in order], "failing": o["id"], "expected_found": o["key"] in values, "expected_value": values.get(o["key"])}
                         continue
-                    stack.append((done | 1 << i, state))
+                    stack.append((done | 1 << i, state, (*order, i)))
                 else:
                     after = {k: v for k, v in values.items() if k != o["key"]}
                     if o["kind"] == "PUT":
                         after[o["key"]] = o["value"]
-                    stack.append((done | 1 << i, tuple(sorted(after.items()))))
+                    stack.append((done | 1 << i, tuple(sorted(after.items())), (*order, i)))
         if spent:
             break
-    return "INCONCLUSIVE" if spent else "VIOLATION"
+    return told("INCONCLUSIVE" if spent else "VIOLATION")
 
 
-def verdicts(ops: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(history_id, n_ops, verdict) by search; a history is one row of one task's work, bounded by the budget."""
-    used = ["id", "kind", "key", "value", "invoke", "complete", "outcome", "found", "result"]
-    whole = ops.groupBy("history_id").agg(F.count("*").alias("n_ops"), F.collect_list(F.struct(*used)).alias("_ops"))
-    schema = T.StructType([whole.schema["history_id"], T.StructField("n_ops", T.LongType()), T.StructField("verdict", T.StringType())])
+def check_one(ops: list[dict], budget: int = BUDGET) -> str:
+    return check(ops, budget)["verdict"]
+
+
+_TOLD = "n_ops long, verdict string, n_completed long, states long, budget long, witness array<long>, failing long, expected_found boolean, expected_value string"
+
+
+def _searched(ops: DataFrame, ddl: str, budget: int, row) -> DataFrame:
+    """A row per history by ``row(operations, what the search told)``; a history is one row of one task's work, bounded by the budget."""
+    whole = ops.groupBy("history_id").agg(F.collect_list(F.struct(*[c for c in ops.columns if c != "history_id"])).alias("_ops"))
+    schema = T.StructType([whole.schema["history_id"], *T.StructType.fromDDL(ddl).fields])
 
     def run(batches):
         for b in batches:
-            said = [check_one(own, budget) for own in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string())], names=schema.names)
+            rows = [row(own, check(own, budget)) for own in b.column(1).to_pylist()]
+            made = pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(T.StructType(schema.fields[1:])))
+            yield pa.RecordBatch.from_arrays([b.column(0), *made.columns], names=schema.names)
 
     return whole.mapInArrow(run, schema)
 
 
+def verdicts(ops: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Of each history: n_ops, verdict, n_completed, states (search steps), budget, witness, failing, expected_found, expected_value."""
+    return _searched(ops, _TOLD, budget, lambda own, told: {"n_ops": len(own), "budget": budget, **told})
+
+
 def minimize_one(ops: list[dict], passes: int = 8, budget: int = BUDGET) -> list[dict]:
     """Operations whose greedy removal would end the violation; the input if there is none."""
     return _shrunk(ops, passes, budget) if check_one(ops, budget) == "VIOLATION" else ops
@@ -164,9 +203,40 @@ def minimized(ops: DataFrame, passes: int = 8, budget: int = BUDGET) -> DataFram
     return whole.mapInArrow(run, ops.schema)
 
 
-def report(verdict: DataFrame) -> DataFrame:
-    """verdict with a line of text."""
-    return verdict.withColumn("report", F.format_string("history %s: %s (%s operations)", F.col("history_id").cast("string"), "verdict", F.col("n_ops").cast("string")))
+def report(ops: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Of each history its verdict and a text that explains it: counts, operations, the order found, what could not follow it."""
+    return _searched(ops, "verdict string, report string", budget, lambda own, told: {"verdict": told["verdict"], "report": _text(own, told, budget)})
+
+
+def line(o: dict) -> str:
+    """An operation in words; ``functions.text.describe`` is the same as a column."""
+    value = f' value="{o["value"]}"' if o["kind"] == "PUT" else ""
+    if o["outcome"] == "INCOMPLETE":
+        end, outcome = "?", "INCOMPLETE"
+    else:
+        end = o["complete"]
+        got = f' found="{o["result"]}"' if o["found"] else " not found"
+        outcome = f"FAILED: {o['err']}" if o["outcome"] == "FAILED" else "OK" + (got if o["kind"] == "GET" else "")
+    return f'{o["id"]}: client {o["client"]} {o["kind"]}("{o["key"]}"){value} from {o["invoke"]} to {end}, {outcome}'
+
+
+def _text(ops: list[dict], told: dict, budget: int) -> str:
+    by_id = {o["id"]: o for o in ops}
+    out = [f"verdict: {told['verdict']}", f"operations: {len(ops)}, completed: {told['n_completed']}", f"states explored: {told['states']} of {budget}", "history:"]
+    out += ["  " + line(o) for o in sorted(ops, key=lambda o: (o["invoke"], o["id"]))]
+    order = " ".join(map(str, told["witness"])) or "none"
+    if told["verdict"] == "VALID":
+        out.append(f"order that explains it: {order}")
+    elif told["verdict"] == "INCONCLUSIVE":
+        out.append("the budget was spent before a verdict; this is no violation")
+    else:
+        out.append(f"longest order found: {order}")
+        if told["failing"] is not None:
+            o = by_id[told["failing"]]
+            held = f'"{told["expected_value"]}"' if told["expected_found"] else "nothing"
+            seen = f'"{o["result"]}"' if o["found"] else "nothing"
+            out += [f"cannot follow: {line(o)}", f'key "{o["key"]}" held {held} then, the get saw {seen}']
+    return "\n".join(out)
 
 
 def brute_force(ops: list[dict]) -> bool:

@@ -54,6 +54,45 @@ def first_violations(obs: DataFrame) -> DataFrame:
     return violations(obs).groupBy("message").agg(F.min("step").alias("first_step"), F.count("*").alias("n"))
 
 
+def observed(obs: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
+    """One row per step: the nodes that were seen (struct of their state, by node), those isolated, and the leaders.
+
+    A step has as many entries as a cluster has nodes.
+    """
+    state = F.struct("node", "role", "term", "leader", "commit_idx", "applied_idx", "snapshot_idx", "last_idx")
+    per = obs.groupBy("step").agg(F.array_sort(F.collect_list(state)).alias("nodes"), F.array_sort(F.collect_list(F.when(F.col("role") == "leader", F.col("node")))).alias("leaders"))
+    if isolated is None:
+        return per
+    cut = isolated.groupBy("step").agg(F.array_sort(F.collect_set("node")).alias("isolated"))
+    return per.join(cut, "step", "left").withColumn("isolated", F.coalesce("isolated", F.array().cast(cut.schema["isolated"].dataType)))
+
+
+def live(nodes: DataFrame, crashes: DataFrame) -> DataFrame:
+    """nodes (node) with crashed, from the last of their events (node, step, kind: crash, restart); live are the others."""
+    last = crashes.groupBy("node").agg(F.max_by("kind", "step").alias("_kind"))
+    return nodes.join(last, "node", "left").withColumn("crashed", F.coalesce(F.col("_kind") == "crash", F.lit(False))).drop("_kind")
+
+
+def first_reached(obs: DataFrame, targets: DataFrame, rounds: int | None = None) -> DataFrame:
+    """targets (node, field, target, from_step) with reached: the first step from then on at which the node's field is that high.
+
+    Null where it is not within ``rounds`` steps (if given).  Fields: commit_idx, applied_idx, snapshot_idx.
+    """
+    fields = ["commit_idx", "applied_idx", "snapshot_idx"]
+    long = obs.select("node", "step", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("_value")) for f in fields])))
+    met = targets.join(long, ["node", "field"]).where((F.col("step") >= F.col("from_step")) & (F.col("_value") >= F.col("target")))
+    if rounds is not None:
+        met = met.where(F.col("step") <= F.col("from_step") + rounds)
+    first = met.groupBy("node", "field", "target", "from_step").agg(F.min("step").alias("reached"))
+    return targets.join(first, ["node", "field", "target", "from_step"], "left")
+
+
+def first_leader(obs: DataFrame, from_step: int = 0) -> DataFrame:
+    """One row: the first step from then on with a leader, and that leader (null if there is none)."""
+    led = obs.where((F.col("role") == "leader") & (F.col("step") >= from_step))
+    return led.agg(F.min(F.struct("step", "node")).alias("m")).select("m.step", "m.node")
+
+
 def changes(obs: DataFrame, column: str, keys: list[str], width: int = WIDTH) -> DataFrame:
     """Steps at which a column took another value: keys, step, value, previous_value."""
     p = previous(obs, keys, "step", [column], "_p", width)

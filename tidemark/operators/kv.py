@@ -76,6 +76,27 @@ def restored(snapshot: DataFrame, log: DataFrame, boundary: int) -> DataFrame:
     return live(base.unionByName(log.where(F.col("idx") > boundary).select("idx", "op", "k", "v")))
 
 
-def ready(log: DataFrame, sentinel: str = "ready") -> DataFrame:
-    """One row: the store answered a read of a key, there or not."""
-    return get(log, F.lit(sentinel)).agg((F.count("*") >= 0).alias("ready"))
+def ready(log: DataFrame, sentinel: str = "ready", damaged: DataFrame | None = None) -> DataFrame:
+    """One row: ready, found and reason of a probe that reads a key which need not be there.
+
+    A store that reads without a fault is ready, whether or not it finds the key;
+    ``damaged`` holds the faults of reading its log (status: TORN, CORRUPT), of which
+    corruption makes it unready, with the status as the reason.
+    """
+    found = get(log, F.lit(sentinel)).agg((F.count("*") > 0).alias("found"))
+    if damaged is None:
+        return found.select(F.lit(True).alias("ready"), "found", F.lit(None).cast("string").alias("reason"))
+    bad = damaged.agg(F.max(F.when(F.col("status") == "CORRUPT", F.col("status")))).scalar()
+    return found.select(bad.isNull().alias("ready"), "found", bad.alias("reason"))
+
+
+def recovered(records: DataFrame, files: list[str]) -> DataFrame:
+    """Live state of a store from the decoded records of its logs (file, offset, op, key, value, status): k, v, idx.
+
+    Torn tails are passed over: what was written before them counts.  A corrupt
+    record ends the job in an error, as what follows it cannot be trusted.
+    """
+    sound = records.withColumn("status", F.when(F.col("status") == "CORRUPT", F.raise_error(F.concat(F.lit("corrupt log at "), F.col("offset").cast("string")))).otherwise(F.col("status"))).where("status = 'OK'")
+    key = F.struct(*files, F.col("offset"))
+    last = sound.groupBy("key").agg(F.max_by(F.struct("op", "value", "offset"), key).alias("m"))
+    return last.where("m.op = 'PUT'").select(F.col("key").alias("k"), F.col("m.value").alias("v"), F.col("m.offset").alias("idx"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import shortest
 from tidemark.operators.scan import WIDTH, previous
 
 #: Upper bounds of latency buckets, in seconds.
@@ -65,10 +66,10 @@ def percentiles(events: DataFrame, label: str, value: str, ps: list[float]) -> D
     """Floor-rank percentiles: of n sorted values the one at int(p * (n - 1)); exact, in bounded memory.
 
     Values are counted first, so equal ones are one row, and ranks come from
-    running sums over distinct values in blocks of equal hundreds of them.
+    running sums over distinct values in blocks whose width follows their range.
     """
     n = events.where(F.col(value).isNotNull()).groupBy(label, value).agg(F.count("*").alias("_n"))
-    block = n.withColumn("_block", F.floor(F.col(value) / 10))
+    block = n.withColumn("_block", F.floor(F.col(value).cast("double") / _width(events, value)))
     sums = block.groupBy(label, "_block").agg(F.sum("_n").alias("_s"))
     w = Window.partitionBy(label).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(label, "_block", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
@@ -79,6 +80,12 @@ def percentiles(events: DataFrame, label: str, value: str, ps: list[float]) -> D
     return ranked.groupBy(label).agg(*[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps])
 
 
+def _width(events: DataFrame, value: str, blocks: int = 4096) -> float:
+    """A width that cuts the range of the values into so many blocks."""
+    low, high = events.agg(F.min(F.col(value).cast("double")), F.max(F.col(value).cast("double"))).first()
+    return max((high - low) / blocks, 1e-9) if low is not None and high > low else 1.0
+
+
 def throughput(events: DataFrame, ts: str) -> DataFrame:
     """Operations a second between the first and the last event; null if they coincide."""
     seconds = F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))
@@ -106,15 +113,15 @@ def newest(events: DataFrame, order: list[str], n: int, where: Column | None = N
 
 
 def sample(events: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of at most n rows: those of the least hash, the same on every run."""
-    return events.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """A uniform sample of at most n rows: those of the least hash, the same on every run and engine."""
+    return events.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), id_col).limit(n)
 
 
 def render(samples: DataFrame) -> DataFrame:
     """Samples (name, label, label_value, value) as lines of the text exposition: name, line."""
     escaped = F.replace(F.replace(F.replace("label_value", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     labels = F.when(F.col("label").isNull(), "").otherwise(F.concat(F.lit("{"), "label", F.lit('="'), escaped, F.lit('"}')))
-    return samples.select("name", F.concat("name", labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return samples.select("name", F.concat("name", labels, F.lit(" "), shortest(F.col("value"))).alias("line"))
 
 
 def exposition(samples: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -140,3 +147,16 @@ def parse(texts: DataFrame, column: str) -> DataFrame:
     clean = lambda v: F.replace(F.replace(F.replace(v, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
     names, values = F.regexp_extract_all("_t", F.lit(LABEL), 1), F.transform(F.regexp_extract_all("_t", F.lit(LABEL), 2), clean)
     return told.where(finite).select("name", F.map_from_arrays(names, values).alias("labels"), "value")
+
+
+def scalar(samples: DataFrame, name: str) -> DataFrame:
+    """One row (value) of the unlabelled sample of a name; null if there is none."""
+    return samples.where((F.col("name") == name) & (F.size("labels") == 0)).agg(F.max("value").alias("value"))
+
+
+def labelled(samples: DataFrame, name: str, labels: list[str]) -> DataFrame:
+    """(labels, value) of the samples of a name that have all these labels, summed over any others."""
+    found = samples.where(F.col("name") == name).select(*[F.element_at("labels", x).alias(x) for x in labels], "value")
+    for x in labels:
+        found = found.where(F.col(x).isNotNull())
+    return found.groupBy(*labels).agg(F.sum("value").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import WIDTH, previous
+from tidemark.operators.scan import WIDTH, previous, running
 
 
 def suffix(log: DataFrame, start: int) -> DataFrame:
@@ -26,6 +26,15 @@ def tail(log: DataFrame) -> DataFrame:
     return log.groupBy("node_id").agg(F.max("idx").alias("last_idx"), F.max_by("term", "idx").alias("last_term"))
 
 
+def entry_at(log: DataFrame, idx: int, boundary: tuple[int, int] | None = None) -> DataFrame:
+    """Per node: idx and term of one entry; those of the boundary (idx, term) where nothing else is there."""
+    own = log.where(F.col("idx") == idx).select("node_id", "idx", "term")
+    if boundary is None or boundary[0] != idx:
+        return own
+    rest = log.select("node_id").distinct().join(own, "node_id", "left_anti")
+    return own.unionByName(rest.select("node_id", F.lit(idx).cast(log.schema["idx"].dataType).alias("idx"), F.lit(boundary[1]).cast(log.schema["term"].dataType).alias("term")))
+
+
 def gaps(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """Places where an index does not follow the one before: node_id, idx, previous_idx."""
     p = previous(log, ["node_id"], "idx", ["idx"], "_p", width)
@@ -120,10 +129,10 @@ def vote_grants(requests: DataFrame) -> DataFrame:
     and the same candidate again; requests of a term below one it saw are refused.
     """
     fit = F.struct("c_term", "c_idx") >= F.struct(F.col("v_term").alias("c_term"), F.col("v_idx").alias("c_idx"))
-    seen = F.max("term").over(Window.partitionBy("voter").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    told = requests.withColumn("_fit", fit).withColumn("_ok", F.col("_fit") & F.coalesce(F.col("term") >= seen, F.lit(True)))
-    first = F.first(F.when(F.col("_ok"), F.col("candidate")), ignorenulls=True).over(Window.partitionBy("voter", "term").orderBy("seq"))
-    return told.withColumn("granted", F.col("_ok") & F.coalesce(first == F.col("candidate"), F.lit(False))).drop("_ok", "_fit")
+    told = running(requests, ["voter"], "seq", F.col("term"), "_seen", "max").withColumn("_ok", fit & F.coalesce(F.col("term") >= F.col("_seen"), F.lit(True)))
+    first = told.where("_ok").groupBy("voter", "term").agg(F.min_by("candidate", "seq").alias("_first"))
+    granted = F.col("_ok") & F.coalesce(F.col("_first") == F.col("candidate"), F.lit(False))
+    return told.join(first, ["voter", "term"], "left").withColumn("granted", granted).drop("_ok", "_seen", "_first")
 
 
 def elected(grants: DataFrame, members: int) -> DataFrame:
@@ -143,9 +152,11 @@ def progress(replies: DataFrame) -> DataFrame:
 
     A success raises match to prev_idx + n at least; a failure takes next one back, to 1 at least.
     """
-    w = Window.partitionBy("peer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    match = F.coalesce(F.max(F.when(F.col("success"), F.col("prev_idx") + F.col("n"))).over(w), F.lit(0))
-    last = F.max(F.when(F.col("success"), F.col("seq"))).over(w)
-    told = replies.withColumn("match_idx", match).withColumn("_last", last)
-    since = F.sum(F.when(F.col("success"), 0).otherwise(1)).over(Window.partitionBy("peer", "_last").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return told.withColumn("next_idx", F.greatest(F.lit(1), F.col("match_idx") + 1 - since)).drop("_last")
+    failed = F.when(F.col("success"), 0).otherwise(1)
+    told = running(replies, ["peer"], "seq", F.when(F.col("success"), F.col("prev_idx") + F.col("n")), "match_idx", "max", inclusive=True)
+    told = running(told, ["peer"], "seq", failed, "_failed", "sum", inclusive=True)
+    # failures up to the last success: their count never falls, so it is the greatest at a success
+    told = running(told, ["peer"], "seq", F.when(F.col("success"), F.col("_failed")), "_upto", "max", inclusive=True)
+    match = F.coalesce("match_idx", F.lit(0))
+    since = F.col("_failed") - F.coalesce("_upto", F.lit(0))
+    return told.withColumn("next_idx", F.greatest(F.lit(1), match + 1 - since)).withColumn("match_idx", match).drop("_failed", "_upto")

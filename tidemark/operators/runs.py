@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import numbered, running
+
 KEY = ["k1", "k2"]
 
 
@@ -33,10 +35,18 @@ def summary(entries: DataFrame) -> DataFrame:
     ).select("table_id", "n_entries", "n_tombstones", F.col("_min.k1").alias("min_k1"), F.col("_min.k2").alias("min_k2"), F.col("_max.k1").alias("max_k1"), F.col("_max.k2").alias("max_k2"))
 
 
-def unsorted(entries: DataFrame) -> DataFrame:
-    """Per table: entries whose key is not above that of the one before, and empty keys."""
-    n = entries.groupBy("table_id", *KEY).agg(F.count("*").alias("n"))
-    return n.groupBy("table_id").agg(F.sum(F.col("n") - 1).alias("n_repeated"), F.sum(F.when(F.col("k1").isNull(), F.col("n")).otherwise(0)).alias("n_empty"))
+def unsorted(entries: DataFrame, position: str) -> DataFrame:
+    """Entries that a run's writer refuses: table_id, position, k1, k2, problem.
+
+    Entries are written by ``position``, unique within a table.  Refused are empty
+    (null) keys and keys not above the last one accepted; those accepted so far
+    hold the greatest key, which a refused entry does not move.
+    """
+    key = F.struct(*KEY)
+    told = running(entries.where("k1 is not null"), ["table_id"], position, key, "_above", "max", width=None)
+    problem = F.when(key == F.col("_above"), "repeated key").when(key < F.col("_above"), "key below the last")
+    out = told.withColumn("problem", problem).where("problem is not null").select("table_id", position, *KEY, "problem")
+    return out.unionByName(entries.where("k1 is null").select("table_id", position, *KEY, F.lit("empty key").alias("problem")))
 
 
 def merge(entries: DataFrame) -> DataFrame:
@@ -60,7 +70,7 @@ def droppable(active: DataFrame, inputs: list[int]) -> DataFrame:
 def compact(entries: DataFrame, inputs: list[int]) -> DataFrame:
     """Merged rows of the input tables; winning tombstones go if ``droppable``.
 
-    All of these end in an error: no inputs, repeated ones, one without a table.
+    The driver gets as many table ids as there are inputs, no more.  All of these end in an error: no inputs, repeated ones, one without a table.
     """
     if not inputs or len(set(inputs)) != len(inputs):
         raise ValueError("inputs must be distinct table ids, one at least")
@@ -82,24 +92,43 @@ def output_name(ids: Column) -> Column:
     return F.concat(F.lit("compacted-"), F.array_join(F.array_sort(ids).cast("array<string>"), "-"), F.lit(".sst"))
 
 
-def block_index(entries: DataFrame, size: int) -> DataFrame:
-    """Sparse index of each table: blocks of ``size`` key positions with their first key (table_id, block, k1, k2)."""
+def droppable_from(active: DataFrame) -> DataFrame:
+    """(first_input, droppable) of every table as the oldest input of a compaction that takes all newer ones."""
+    ids = active.select("table_id").distinct()
+    return ids.select(F.col("table_id").alias("first_input"), (F.col("table_id") == ids.agg(F.min("table_id")).scalar()).alias("droppable"))
+
+
+def block_index(entries: DataFrame, size: int, width: int = 1 << 16) -> DataFrame:
+    """Sparse index of each table: blocks of ``size`` key positions with their first key (table_id, block, k1, k2).
+
+    Positions are counted in ranges of ``width`` values of k1.
+    """
     keys = entries.select("table_id", *KEY).distinct()
-    place = F.row_number().over(Window.partitionBy("table_id").orderBy(*KEY))
-    at = keys.withColumn("block", F.floor((place - 1) / size))
+    at = numbered(keys, ["table_id"], F.floor(F.col("k1") / width), KEY, "_place").withColumn("block", F.floor((F.col("_place") - 1) / size))
     return at.groupBy("table_id", "block").agg(F.min(F.struct(*KEY)).alias("m")).select("table_id", "block", "m.k1", "m.k2")
 
 
+#: Probes that may go to every table's index.
+MOST_PROBES = 100_000
+
+
 def candidate_block(index: DataFrame, probes: DataFrame) -> DataFrame:
     """The last block of each table whose first key is not above the probe; -1 where all are.
 
-    Probes (p1, p2) are a stated set of few keys, sent to the index.
+    Probes (p1, p2) are a stated set, at most MOST_PROBES, that is sent to the index; more end in an error.
     """
+    if probes.limit(MOST_PROBES + 1).count() > MOST_PROBES:
+        raise ValueError(f"more than {MOST_PROBES} probes")
     inside = F.struct("k1", "k2") <= F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2"))
     found = index.join(F.broadcast(probes), F.lit(True), "inner").groupBy("table_id", "p1", "p2")
     return found.agg(F.coalesce(F.max(F.when(inside, F.col("block"))), F.lit(-1)).alias("block"))
 
 
+def in_order(manifest: DataFrame) -> DataFrame:
+    """The manifest by table id, oldest first."""
+    return manifest.orderBy("table_id")
+
+
 def add_table(manifest: DataFrame, file: str) -> DataFrame:
     """The manifest (table_id, file) with a new table of the next id."""
     top = manifest.agg(F.coalesce(F.max("table_id"), F.lit(0)) + 1)

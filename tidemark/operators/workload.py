@@ -41,16 +41,19 @@ def compaction_inputs(spark: SparkSession, tables: int, keys_each: int, disjoint
     return n.select("table_id", F.concat(F.lit("key-"), F.lpad(key.cast("long").cast("string"), 10, "0")).alias("key"), F.when(~dead, F.concat(F.lit("value-table"), F.col("table_id").cast("string"))).alias("value"), dead.alias("tombstone"))
 
 
-#: Kinds of fault actions.
-FAULTS = ["crash", "restart", "partition", "heal", "isolate", "put", "delete", "get"]
+#: Kinds of steps of a fault plan.
+FAULTS = ["put", "delete", "get", "crash", "restart", "partition", "heal", "snapshot"]
 
 
 def fault_plan(spark: SparkSession, steps: int, nodes: int, seed: int = 42) -> DataFrame:
-    """(step, kind, node, key, value)."""
+    """(step, kind, node, key, value): a put has both, a delete and a get have a key, all others neither."""
     i = F.col("step")
     s = spark.range(steps).withColumnRenamed("id", "step")
     kind = F.element_at(F.array(*[F.lit(x) for x in FAULTS]), (_spread(i, seed, len(FAULTS)) + 1).cast("int"))
-    return s.select("step", kind.alias("kind"), _spread(i, seed + 1, nodes).cast("int").alias("node"), F.concat(F.lit("k"), _spread(i, seed + 2, 5).cast("long").cast("string")).alias("key"), F.concat(F.lit("v"), _spread(i, seed + 3, 1000).cast("long").cast("string")).alias("value"))
+    key = F.concat(F.lit("k"), _spread(i, seed + 2, 5).cast("long").cast("string"))
+    value = F.concat(F.lit("v"), _spread(i, seed + 3, 1000).cast("long").cast("string"))
+    told = s.select("step", kind.alias("kind"), _spread(i, seed + 1, nodes).cast("int").alias("node"))
+    return told.select("*", F.when(F.col("kind").isin("put", "delete", "get"), key).alias("key"), F.when(F.col("kind") == "put", value).alias("value"))
 
 
 def classify(attempts: DataFrame) -> DataFrame:
@@ -74,24 +77,67 @@ def candidate_order(backends: DataFrame, guess: str | None) -> DataFrame:
     return backends.withColumn("_first", F.col("addr") == F.lit(guess)).orderBy(F.desc_nulls_last("_first"), "pos").drop("_first")
 
 
-def series(spark: SparkSession, n: int, base: float, amplitude: float, jitter: float, seed: int = 1) -> DataFrame:
-    """(t, value): a wave with scatter, never below 0, rounded to two places."""
-    wave = F.lit(base) + F.lit(amplitude) * F.sin(F.col("id") / 6.0) + (_spread(F.col("id"), seed, 2001) / 1000.0 - 1) * jitter
-    return spark.range(n).select(F.col("id").alias("t"), F.round(F.greatest(F.lit(0.0), wave), 2).alias("value"))
+_MASK = 0xFFFFFFFF
 
 
-def random_history(spark: SparkSession, histories: int, operations: int, seed: int = 42) -> DataFrame:
-    """Histories of sequential operations with true results (all VALID): rows as ``operators.history`` takes them.
+def _times(a: Column, b: Column) -> Column:
+    """Product of two unsigned 32-bit numbers, modulo 2 ** 32; no step passes 63 bits."""
+    low, high = a * b.bitwiseAND(0xFFFF), (a * F.shiftright(b, 16)).bitwiseAND(0xFFFF)
+    return (low + high * 65536).bitwiseAND(_MASK)
 
-    Results follow from the last write of the key, so they are taken with a window.
+
+def mulberry(n: Column, seed: int) -> Column:
+    """The n-th (from 0) number in [0, 1) of the public 32-bit generator Mulberry32: its state rises by a fixed step."""
+    s = (F.lit(seed).cast("long") + (n + 1) * 0x6D2B79F5).bitwiseAND(_MASK)
+    t = _times(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(1))
+    t = ((t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(_MASK)).bitwiseXOR(t)
+    return t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0
+
+
+def series(spark: SparkSession, n: int, base: float, amplitude: float, jitter: float, seed: int = 1, places: int = 0) -> DataFrame:
+    """(t, label, value): 1.2 waves with jitter, never below 0, rounded half up; labels count back to ``now``."""
+    wave = F.sin(F.col("id") / n * F.lit(3.141592653589793) * 2.4) * amplitude
+    value = F.greatest(F.lit(0.0), F.lit(base) + wave + (mulberry(F.col("id"), seed) - 0.5) * 2 * jitter)
+    ago = F.lit(n - 1) - F.col("id")
+    return spark.range(n).select(F.col("id").alias("t"), F.when(ago == 0, "now").otherwise(F.concat(F.lit("-"), ago.cast("string"), F.lit("m"))).alias("label"), (F.floor(value * 10**places + 0.5) / 10**places).alias("value"))
+
+
+#: Operations of a history that may be under way at once, and faults it may meet.
+PENDING, MOST_FAULTS = 3, 2
+
+
+def random_history(spark: SparkSession, histories: int, operations: int, seed: int = 42, faults: bool = False, keys: int = 3) -> DataFrame:
+    """Histories of a correct store (none is a violation): rows as ``operators.history`` takes them.
+
+    Operation i takes effect at time 4 i + 6.  It begins up to PENDING - 1 operations
+    earlier and completes up to as many later, so up to PENDING are under way at
+    once.  With faults, up to MOST_FAULTS writes of a history fail (without effect)
+    or stay incomplete (with or without one).  Results follow from the last write
+    of the key that took effect, by a window over one history's key.
     """
     from pyspark.sql import Window
 
-    i = F.col("id") % operations
-    kind = F.element_at(F.array(F.lit("PUT"), F.lit("GET"), F.lit("DELETE")), (_spread(F.col("id"), seed, 3) + 1).cast("int"))
-    rows = spark.range(histories * operations).select(F.floor(F.col("id") / operations).alias("history_id"), "id", (i % 3).alias("client"), kind.alias("kind"), F.concat(F.lit("k"), _spread(F.col("id"), seed + 1, 3).cast("string")).alias("key"), F.concat(F.lit("v"), _spread(F.col("id"), seed + 2, 1000).cast("string")).alias("_v"), (i * 2).alias("invoke"), (i * 2 + 1).alias("complete"))
+    n, i = F.col("id"), F.col("id") % operations
+    reach = (PENDING - 1) * 2
+    kind = F.element_at(F.array(F.lit("PUT"), F.lit("GET"), F.lit("DELETE")), (_spread(n, seed, 3) + 1).cast("int"))
+    rows = spark.range(histories * operations).select(
+        F.floor(n / operations).alias("history_id"), "id", (i % PENDING).alias("client"), kind.alias("kind"),
+        F.concat(F.lit("k"), _spread(n, seed + 1, keys).cast("string")).alias("key"), F.concat(F.lit("v"), _spread(n, seed + 2, 1000).cast("string")).alias("_v"),
+        (i * 4 + 1 + reach - _spread(n, seed + 3, reach + 1)).cast("long").alias("invoke"), (i * 4 + 3 + reach + _spread(n, seed + 4, reach + 1)).cast("long").alias("complete"),
+    )
+    # the first writes of a history that are drawn meet the faults
+    drawn = F.lit(faults) & (F.col("kind") != "GET") & (_spread(F.col("id"), seed + 5, 4) == 0)
+    count = F.sum(F.when(drawn, 1).otherwise(0)).over(Window.partitionBy("history_id").orderBy("id"))
+    fault = F.when(drawn & (count <= MOST_FAULTS), _spread(F.col("id"), seed + 6, 3).cast("int"))
+    rows = rows.withColumn("_fault", fault)  # 0: fails; 1: incomplete without effect; 2: incomplete with effect
+    works = F.coalesce(F.col("_fault") == 2, F.lit(True))
     before = Window.partitionBy("history_id", "key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind") != "GET", F.struct("kind", "_v")), ignorenulls=True).over(before)
+    last = F.last(F.when((F.col("kind") != "GET") & works, F.struct("kind", "_v")), ignorenulls=True).over(before)
     told = rows.withColumn("_last", last)
     found = F.coalesce((F.col("kind") == "GET") & (F.col("_last.kind") == "PUT"), F.lit(False))
-    return told.select("history_id", "id", "client", "kind", "key", F.when(F.col("kind") == "PUT", F.col("_v")).otherwise("").alias("value"), "invoke", "complete", F.lit("OK").alias("outcome"), found.alias("found"), F.when(found, F.col("_last._v")).otherwise("").alias("result"), F.lit("").alias("err"))
+    outcome = F.when(F.col("_fault") == 0, "FAILED").when(F.col("_fault").isNotNull(), "INCOMPLETE").otherwise("OK")
+    return told.select(
+        "history_id", "id", "client", "kind", "key", F.when(F.col("kind") == "PUT", F.col("_v")).otherwise("").alias("value"),
+        "invoke", F.when(outcome == "INCOMPLETE", F.lit(0).cast("long")).otherwise(F.col("complete")).alias("complete"), outcome.alias("outcome"),
+        found.alias("found"), F.when(found, F.col("_last._v")).otherwise("").alias("result"), F.when(outcome == "FAILED", "fault").otherwise("").alias("err"),
+    )

@@ -119,7 +119,6 @@ ORACLE = {
     "sorted_snapshot": f"WITH {CMD} SELECT k, v FROM ({_LIVE.format('cmd', '')})",
     "live_stats": f"WITH {CMD}, l AS (SELECT * FROM (SELECT * FROM cmd QUALIFY row_number() OVER (PARTITION BY k ORDER BY idx DESC) = 1) WHERE op = 'PUT') SELECT count(*) AS n_keys, CAST(coalesce(sum(length(k) + length(CAST(v AS VARCHAR))), 0) AS BIGINT) AS n_bytes FROM l",
     "point_get": f"WITH {CMD} SELECT k, v FROM ({_LIVE.format('cmd', '')}) WHERE k = 'k7'",
-    "ready_probe": "SELECT true AS ready",
     "point_get_tri": f"WITH {MERGED}, p AS (SELECT range * 7 AS k1, CAST(range % 4 + 1 AS INTEGER) AS k2 FROM range(400)) SELECT k1, k2, CASE WHEN table_id IS NULL THEN 'NOT_FOUND' WHEN tombstone THEN 'TOMBSTONE' ELSE 'FOUND' END AS result, CASE WHEN NOT tombstone THEN CAST(v AS DOUBLE) END AS v FROM p LEFT JOIN merged USING (k1, k2)",
     "mutation_counts": f"WITH {CMD} SELECT count(*) FILTER (WHERE op = 'PUT') AS n_put, count(*) FILTER (WHERE op = 'DELETE') AS n_delete FROM cmd",
     "replica_diff": f"WITH {REPLICAS} SELECT key, CAST(ra.value AS DOUBLE) AS a_value, CAST(rb.value AS DOUBLE) AS b_value, CASE WHEN rb.value IS NULL THEN 'ONLY_A' WHEN ra.value IS NULL THEN 'ONLY_B' ELSE 'CHANGED' END AS kind FROM ra FULL JOIN rb USING (key) WHERE ra.value IS DISTINCT FROM rb.value",
@@ -132,7 +131,9 @@ ORACLE = {
     "latest_client_request": f"WITH {OUTCOMES} SELECT client_id, max(request_id) AS request_id, arg_max(op, request_id) AS op, arg_max(k, request_id) AS k, arg_max(idx, request_id) AS idx FROM outcomes WHERE outcome IN ('APPLIED', 'EMPTY_KEY') GROUP BY client_id",
     "applied_state": f"WITH {OUTCOMES} {_LIVE.format('outcomes', 'WHERE outcome = ' + chr(39) + 'APPLIED' + chr(39))}",
     "run_summary": f"WITH {RUNS} SELECT table_id, count(*) AS n_entries, count(*) FILTER (WHERE tombstone) AS n_tombstones, min((k1, k2))[1] AS min_k1, min((k1, k2))[2] AS min_k2, max((k1, k2))[1] AS max_k1, max((k1, k2))[2] AS max_k2 FROM entry GROUP BY table_id",
-    "run_sorted_check": f"WITH {RUNS} SELECT table_id, CAST(count(*) FILTER (WHERE (k1, k2) = p) AS BIGINT) AS n_repeated, CAST(count(*) FILTER (WHERE k1 IS NULL) AS BIGINT) AS n_empty FROM (SELECT *, lag((k1, k2)) OVER (PARTITION BY table_id ORDER BY k1, k2) AS p FROM entry) GROUP BY table_id",
+    "run_sorted_check": f"""WITH {RUNS}, p AS (SELECT *, CASE WHEN table_id % 2 = 0 THEN 0 ELSE date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) * 10000000000 END + k1 * 10 + k2 AS position FROM entry),
+      x AS (SELECT *, max((k1, k2)) OVER (PARTITION BY table_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM p)
+      SELECT table_id, CASE WHEN (k1, k2) = above THEN 'repeated key' ELSE 'key below the last' END AS problem, count(*) AS n, min(k1) AS least_k1 FROM x WHERE (k1, k2) <= above GROUP BY ALL""",
     "kway_merge": f"WITH {MERGED} SELECT k1, k2, CAST(v AS DOUBLE) AS v, tombstone, table_id FROM merged",
     "compact_drop_tombstones": f"WITH {RUNS}, m AS (SELECT min(table_id) AS t FROM entry) SELECT k1, k2, CAST(v AS DOUBLE) AS v, tombstone, table_id FROM (SELECT * FROM entry WHERE table_id <= (SELECT t + 2 FROM m) QUALIFY row_number() OVER (PARTITION BY k1, k2 ORDER BY {NEWEST}) = 1) WHERE NOT tombstone",
     "compact_keep_tombstones": f"WITH {RUNS}, m AS (SELECT min(table_id) AS t FROM entry) SELECT k1, k2, CAST(v AS DOUBLE) AS v, tombstone, table_id FROM entry WHERE table_id BETWEEN (SELECT t + 2 FROM m) AND (SELECT t + 3 FROM m) QUALIFY row_number() OVER (PARTITION BY k1, k2 ORDER BY {NEWEST}) = 1",
@@ -202,11 +203,13 @@ ORACLE = {
     "sequential_keys": f"SELECT {_KEY.format('range % 100')} AS key, count(*) AS n FROM range(1000) GROUP BY 1",
     "value_sizes": "SELECT 300 AS n, 300 * 4096 AS n_bytes",
     "compaction_inputs": "SELECT CAST(t AS INTEGER) AS table_id, count(*) AS n, count(*) FILTER (WHERE i % 10 = 0) AS n_tombstones, min('key-' || lpad(CAST(i AS VARCHAR), 10, '0')) AS first, max('key-' || lpad(CAST(i AS VARCHAR), 10, '0')) AS last FROM (SELECT range // 500 + 1 AS t, range % 500 AS i FROM range(2000)) GROUP BY t",
-    "fault_plan": f"SELECT range AS step, ['crash', 'restart', 'partition', 'heal', 'isolate', 'put', 'delete', 'get'][{_spread('range', 42, '8')} + 1] AS kind, CAST({_spread('range', 43, '5')} AS INTEGER) AS node, 'k' || {_spread('range', 44, '5')} AS key, 'v' || {_spread('range', 45, '1000')} AS value FROM range(60)",
+    "fault_plan": f"""WITH p AS (SELECT range AS step, ['put', 'delete', 'get', 'crash', 'restart', 'partition', 'heal', 'snapshot'][{_spread('range', 42, '8')} + 1] AS kind, CAST({_spread('range', 43, '5')} AS INTEGER) AS node, 'k' || {_spread('range', 44, '5')} AS key, 'v' || {_spread('range', 45, '1000')} AS value FROM range(60))
+      SELECT step, kind, node, CASE WHEN kind IN ('put', 'delete', 'get') THEN key END AS key, CASE WHEN kind = 'put' THEN value END AS value FROM p""",
     "outcome_classes": "SELECT CASE WHEN event_id % 4 < 2 THEN 'OK' WHEN event_id % 4 < 3 THEN 'INCOMPLETE' ELSE 'FAILED' END AS outcome, count(*) AS n FROM events GROUP BY 1",
     "peer_list_parse": "SELECT trim(split_part(p, '=', 1)) AS id, split_part(split_part(p, '=', 2), '|', 1) AS grpc_addr, trim(split_part(split_part(p, '=', 2), '|', 2)) AS http_addr FROM (SELECT trim(unnest(string_split('n1=h1:9090|h1:8080, n2=h2:9090|h2:8080,,n3=h3:9090|h3:8080', ','))) AS p) WHERE p <> ''",
     "result_codes": f"WITH {OUTCOMES} SELECT CASE outcome WHEN 'CONFLICT' THEN 1 WHEN 'STALE' THEN 2 WHEN 'EMPTY_KEY' THEN 3 ELSE 0 END AS code, count(*) AS n FROM outcomes GROUP BY 1",
-    "operation_text": f"WITH {HIST} SELECT id, 'client ' || client || ' ' || kind || ' ' || key || '=' || value || ': ' || outcome AS description FROM hist",
+    "operation_text": f"""WITH {HIST} SELECT id, id || ': client ' || client || ' ' || kind || '("' || key || '")' || CASE WHEN kind = 'PUT' THEN ' value="' || value || '"' ELSE '' END || ' from ' || invoke || ' to ' || CASE WHEN outcome = 'INCOMPLETE' THEN '?' ELSE CAST(complete AS VARCHAR) END || ', ' ||
+      CASE outcome WHEN 'INCOMPLETE' THEN 'INCOMPLETE' WHEN 'FAILED' THEN 'FAILED: ' || err ELSE 'OK' || CASE WHEN kind <> 'GET' THEN '' WHEN found THEN ' found="' || result || '"' ELSE ' not found' END END AS description FROM hist""",
     "chunk_offsets": "SELECT doc_id, o AS offset, least(1000, n - o) AS n_bytes, o + least(1000, n - o) >= n AS final FROM (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 1000)) AS o FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents))",
     "wal_round_trip": f"WITH {CMD} SELECT 'OK' AS status, op, count(*) AS n, CAST(sum(length(k)) AS BIGINT) AS key_bytes, CAST(sum(coalesce(length(CAST(v AS VARCHAR)), 0)) AS BIGINT) AS value_bytes FROM cmd GROUP BY op",
     "command_round_trip": f"WITH {CMD} SELECT count(*) AS n, count(*) AS n_same FROM cmd WHERE request_id >= 0",
@@ -220,4 +223,29 @@ ORACLE = {
       (':8080', true, true, 'info', NULL, 'https://y', '12 B', 'string', 'req-00000012', '1xx', ':8080+https://y/'),
       ('h:99999', false, false, 'info', NULL, 'http://z', '5.0 MiB', 'number', 'req-05242880', '4xx', 'h:99999+z'))
       t(addr, valid, wildcard, level, token, url, size, kind, request, class, origins)""",
+    "linearizable_verdict": f"""WITH RECURSIVE {HIST},
+      o AS (SELECT *, CAST(1 << pos AS BIGINT) AS bit FROM hist WHERE outcome = 'OK' OR (outcome = 'INCOMPLETE' AND kind <> 'GET')),
+      w AS (SELECT b.history_id, b.id, b.bit, b.kind, b.key, b.value, b.found, b.result, coalesce(sum(a.bit), 0)::BIGINT AS need FROM o b LEFT JOIN o a ON a.history_id = b.history_id AND a.id <> b.id AND a.outcome = 'OK' AND a.complete < b.invoke GROUP BY ALL),
+      h AS (SELECT history_id, count(*) AS n_ops, count(*) FILTER (WHERE outcome = 'OK') AS n_completed, coalesce(sum(CAST(1 << pos AS BIGINT)) FILTER (WHERE outcome = 'OK'), 0)::BIGINT AS whole FROM hist GROUP BY history_id),
+      s(history_id, done, v0, v1) AS (
+        SELECT history_id, 0::BIGINT, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM h
+        UNION
+        SELECT s.history_id, s.done | w.bit,
+          CASE WHEN w.key <> 'k0' OR w.kind = 'GET' THEN s.v0 WHEN w.kind = 'PUT' THEN w.value END,
+          CASE WHEN w.key <> 'k1' OR w.kind = 'GET' THEN s.v1 WHEN w.kind = 'PUT' THEN w.value END
+        FROM s JOIN w ON w.history_id = s.history_id
+        WHERE s.done & w.bit = 0 AND s.done & w.need = w.need AND (w.kind <> 'GET' OR (w.found = (CASE WHEN w.key = 'k0' THEN s.v0 ELSE s.v1 END IS NOT NULL) AND (NOT w.found OR w.result = CASE WHEN w.key = 'k0' THEN s.v0 ELSE s.v1 END))))
+      SELECT h.history_id, n_ops, n_completed, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.history_id = h.history_id AND s.done & h.whole = h.whole) THEN 'VALID' ELSE 'VIOLATION' END AS verdict FROM h""",
+    "bounded_sample": f"WITH {REQ} SELECT id, CAST(latency_ms AS DOUBLE) AS latency_ms FROM req ORDER BY md5(id || ':42'), id LIMIT 500",
+    "chunk_reassembly": """WITH c AS (SELECT event_id // 3 AS t, event_id % 3 AS piece, min(CASE WHEN event_id % 50 = 1 THEN event_id % 3 END) OVER (PARTITION BY event_id // 3) AS bad FROM events)
+      SELECT status, count(*) AS n FROM (SELECT CASE WHEN piece = bad THEN 'CHECKSUM' WHEN piece > bad THEN 'OTHER_TRANSFER' WHEN piece = 2 THEN 'COMPLETE' ELSE 'STORED' END AS status FROM c) GROUP BY status""",
+    "wal_torn_tail": f"""WITH {CMD}, r AS (SELECT client_id % 16 AS file, 13 + length(k) + coalesce(length(CAST(v AS VARCHAR)), 0) AS n, sum(13 + length(k) + coalesce(length(CAST(v AS VARCHAR)), 0)) OVER (PARTITION BY client_id % 16 ORDER BY idx) AS upto, sum(13 + length(k) + coalesce(length(CAST(v AS VARCHAR)), 0)) OVER (PARTITION BY client_id % 16) AS size FROM cmd)
+      SELECT file, count(*) FILTER (WHERE upto <= size - file) AS n_ok, CAST(bool_or(upto > size - file AND upto - n < size - file) AS BIGINT) AS n_torn, 0 AS n_corrupt FROM r GROUP BY file""",
+    "checksums": """WITH b AS (SELECT n_name AS name, [('0x' || h)::HUGEINT FOR h IN regexp_extract_all(hex(n_name), '..')] AS bytes FROM nation)
+      SELECT name,
+        xor(list_reduce(list_prepend(4294967295::HUGEINT, bytes), lambda c, x: list_reduce(list_prepend(xor(c, x), [0::HUGEINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 2197175160::HUGEINT ELSE 0 END))), 4294967295::HUGEINT) AS crc32c,
+        CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: xor(h, x) * 1099511628211 % 18446744073709551616::HUGEINT) AS VARCHAR) AS fnv1a,
+        CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: xor(h * 1099511628211 % 18446744073709551616::HUGEINT, x)) AS VARCHAR) AS fnv1
+      FROM b""",
+    "bloom_membership": "SELECT count(*) AS n_probes, count(*) AS n_found FROM (SELECT DISTINCT year(l_shipdate), l_orderkey, l_linenumber FROM lineitem)",
 }

@@ -53,11 +53,6 @@ def point_get(s, d):
     return kv.get(a.writes(s, d), F.lit("k7")).select("k", F.col("v").cast("double").alias("v"))
 
 
-@query
-def ready_probe(s, d):
-    return kv.ready(a.writes(s, d))
-
-
 @query
 def point_get_tri(s, d):
     probes = s.range(400).select((F.col("id") * 7).alias("k1"), (F.col("id") % 4 + 1).cast("int").alias("k2"))
@@ -136,7 +131,11 @@ def run_summary(s, d):
 
 @query
 def run_sorted_check(s, d):
-    return runs.unsorted(a.run_entries(s, d))
+    """Every other table is written by key, the rest by ship date and key."""
+    day = F.datediff(F.col("seq.l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    by_key = F.col("k1") * 10 + F.col("k2")
+    e = a.run_entries(s, d).withColumn("position", F.when(F.col("table_id") % 2 == 0, by_key).otherwise(day * 10_000_000_000 + by_key))
+    return runs.unsorted(e, "position").groupBy("table_id", "problem").agg(F.count("*").alias("n"), F.min("k1").alias("least_k1"))
 
 
 @query
@@ -160,11 +159,7 @@ def compact_keep_tombstones(s, d):
 
 @query
 def tombstone_droppable(s, d):
-    active = a.run_entries(s, d).select("table_id").distinct()
-    inputs = active.select(F.col("table_id").alias("first_input"))
-    older = active.select(F.col("table_id").alias("_t"))
-    n = inputs.join(F.broadcast(older), F.col("_t") < F.col("first_input"), "left").groupBy("first_input").agg((F.count("_t") == 0).alias("droppable"))
-    return n
+    return runs.droppable_from(a.run_entries(s, d))
 
 
 @query
@@ -423,7 +418,7 @@ def stale_gets(s, d):
 
 @query
 def linearizable_verdict(s, d):
-    return history.verdicts(a.history(s, d))
+    return history.verdicts(a.history(s, d)).select("history_id", "n_ops", "n_completed", "verdict")
 
 
 @query
@@ -433,14 +428,12 @@ def minimized_histories(s, d):
 
 @query
 def verdict_report(s, d):
-    return history.report(history.verdicts(a.history(s, d)))
+    return history.report(a.history(s, d))
 
 
 @query
 def optional_subsets(s, d):
-    k = s.range(15).select(F.col("id").cast("int").alias("k"))
-    some = F.when(F.col("k") <= history.MOST_OPTIONAL, F.sequence(F.lit(0), F.expr("cast(power(2, least(k, 12)) as int) - 1"))).otherwise(F.array(F.lit(0), F.expr("cast(power(2, k) as int) - 1")))
-    return k.select("k", F.explode(some).alias("subset"))
+    return history.subsets(s.range(15).select(F.col("id").cast("int").alias("k")))
 
 
 # -- metrics
@@ -634,7 +627,7 @@ def result_codes(s, d):
 @query
 def operation_text(s, d):
     h = a.history(s, d)
-    return h.select("id", text.describe({c: F.col(c) for c in ("client", "kind", "key", "value", "outcome")}).alias("description"))
+    return h.select("id", text.describe({c: F.col(c) for c in h.columns if c != "history_id"}).alias("description"))
 
 
 @query
@@ -726,6 +719,5 @@ def stream_dedup(s, d):
 def stream_live_state(s, d):
     folder = _log_files(s, d, 4)
     schema = s.read.parquet(f"{folder}/files").schema
-    name = "live_" + folder[-12:]
-    state = logstream.drain(logstream.latest(logstream.read_log(s, f"{folder}/files", schema)), name, "complete", f"{folder}/checkpoint")
+    state = logstream.drain(logstream.latest(logstream.read_log(s, f"{folder}/files", schema)), f"{folder}/out", "complete", f"{folder}/checkpoint")
     return state.where("op = 'PUT'").select("k", F.col("v").cast("double").alias("v"), "idx")

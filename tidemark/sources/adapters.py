@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import WIDTH, numbered
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -19,7 +21,8 @@ def command_log(spark: SparkSession, folder: str) -> DataFrame:
     Indexes are even; a retry of every eleventh command stands at the odd one after it.
     """
     e = table(spark, folder, "events")
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = numbered(e, ["user_id"], F.floor(F.col("event_id") / WIDTH), ["event_id"], "number")
+    number = F.col("number")
     late = F.when(F.col("event_id") % 7 == 0, 2).when(F.col("event_id") % 3 == 0, 1).otherwise(0)
     op = F.when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "view", "GET").otherwise("PUT")
     log = e.select(
@@ -53,12 +56,13 @@ def run_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raft_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Logs of three nodes: node_id, idx, term; every 101st order is missing."""
+def raft_logs(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    """Logs of three nodes: node_id, idx, term; every 101st order is missing.  With ``every`` none is, and each has a command."""
     o = table(spark, folder, "orders")
-    node = (F.col("o_custkey") % 3).cast("int")
-    idx = F.row_number().over(Window.partitionBy(node).orderBy("o_orderdate", "o_orderkey"))
-    log = o.select(node.alias("node_id"), idx.cast("long").alias("idx"), F.year("o_orderdate").cast("long").alias("term"), F.col("o_orderkey").alias("order_key"))
+    o = numbered(o.withColumn("node_id", (F.col("o_custkey") % 3).cast("int")), ["node_id"], F.col("o_orderdate"), ["o_orderkey"], "idx")
+    log = o.select("node_id", F.col("idx").cast("long").alias("idx"), F.year("o_orderdate").cast("long").alias("term"), F.col("o_orderkey").alias("order_key"))
+    if every:
+        return log.select("node_id", "idx", "term", F.concat(F.lit("c"), F.col("order_key").cast("string")).alias("command"))
     return log.where("order_key % 101 <> 0").drop("order_key")
 
 

@@ -45,7 +45,8 @@ def load_history(spark: SparkSession, path: str, whole_files: bool = False) -> D
     return spark.read.schema(HISTORY).option("multiLine", whole_files).option("mode", "FAILFAST").json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table, in order."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -57,14 +58,14 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 def save_version(df: DataFrame, path: str) -> int:
     """Writes the next version of a table; an existing one of that number is an error."""
-    n = (_versions(df.sparkSession, path) or [0])[-1] + 1
+    n = (versions(df.sparkSession, path) or [0])[-1] + 1
     df.write.mode("error").parquet(f"{path}/v{n}")
     return n
 
 
 def load_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of a table, by default the newest."""
-    held = _versions(spark, path)
+    held = versions(spark, path)
     n = version if version is not None else (held or [0])[-1]
     if n not in held:
         raise FileNotFoundError(f"{path} has no version {n}")
