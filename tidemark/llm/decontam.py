@@ -3,9 +3,9 @@
 Each task turns its documents into shards of word ids and builds a suffix array
 of every shard: the starts of all suffixes that can match two words of a test
 (or a whole one-word test), sorted by their first ``width`` words.  Every test
-suffix is then binary-searched in every shard.  That gives, per test suffix,
-the training suffixes that share its window, and by extending the neighbours
-word by word the longest verbatim match and its location.
+suffix is then binary-searched in every shard.  That gives the training suffixes
+that share its window and, from the neighbours of the place found, the longest
+verbatim match and its location.
 
 Words are runs of characters outside ``\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F`` of the text
 with A-Z lower-cased.  A window is ``width`` consecutive words of a test; a test
@@ -15,69 +15,88 @@ window is hit.
 Words are compared by 64-bit hashes: a document word outside the tests'
 vocabulary of V words passes for one of them with probability V / 2**64.
 
-Tests reach the tasks by broadcast, in blocks of at most ``BLOCK_BYTES`` of
-text; larger test sets take more blocks, never a larger one (unless a single
-item is larger).
+Tests reach the tasks as broadcast text, in blocks of at most ``BLOCK_BYTES``
+(a larger item stands alone).  The driver holds one block at a time, a worker
+builds the arrays of one block at a time (some 40 bytes for each byte of test
+text at the peak), and with several blocks it takes ``CHUNK_BYTES`` of documents
+through all of them in turn, so memory does not grow with the tests.
 
 Null or empty texts have no words, no hits and are never contaminated.  Items
 without words match nothing.  Items with a null id hit words but are not
-listed.  Repeated ids are listed once.  An empty test table leaves every
-document clean.  Columns named like an output are replaced.
+listed.  Repeated ids are listed once; repeated documents are documents like
+others.  An empty test table leaves every document clean, an empty table of
+documents gives none.  Very long texts are searched whole, as a shard of their
+own.  Columns named like an output are replaced, in any case of letters; of
+other columns none clashes.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.textcore import NON_ALNUM, Texts, Words, attach, group_starts, tune, without
+from tidemark.llm.exchange import member
+from tidemark.llm.textcore import NON_ALNUM, Texts, Words, group_starts, tune, without
 
 #: Test text, in bytes, that one broadcast block holds.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of documents that a worker takes through all blocks, where there are several.
+CHUNK_BYTES = 16 << 20
 WIDTH = 13
 
 
 class Tests:
-    """Word ids, suffixes and windows of a block of tests."""
+    """Word ids, suffixes and windows of a block of tests.
+
+    Suffixes stand in the order of their first ``width`` words, equal ones once
+    for the search (``key``) and each with its item and place (``item``, ``place``).
+    A window that several items have, or one item twice, is searched once.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WIDTH):
         self.width = width
         self.names = [i for i, _ in items]
         texts = Texts.of(pa.array([t for _, t in items], pa.large_string())).lower()
         words = Words(texts, NON_ALNUM)
-        h = words.hashes()
+        h, doc = words.hashes(), words.doc()
         self.vocabulary = np.unique(h)
-        ids = np.searchsorted(self.vocabulary, h).astype(np.uint32) + 1
-        counts, doc = words.counts, words.doc()
+        self.n = len(self.vocabulary) + 1
         at = np.arange(len(h)) + doc  # one 0 after each item
         self.seq = np.zeros(len(h) + len(items) + width, np.uint32)
-        self.seq[at] = ids
-        self.suffixes = at
-        self.item = doc
-        self.place = np.arange(len(h)) - words.bounds[:-1][doc] if len(h) else np.zeros(0, np.int64)
-        left = counts[doc] - self.place if len(h) else np.zeros(0, np.int64)
-        self.is_window = (left >= width) | (self.place == 0)
-        self.span = np.minimum(left, width)
-        self.keys = keys(self.seq, at, width)
-        w = np.flatnonzero(self.is_window)  # a window that its item repeats is searched once
-        w = w[np.lexsort((self.keys[w], doc[w]))]
-        same = (self.keys[w][1:] == self.keys[w][:-1]) & (doc[w][1:] == doc[w][:-1])
-        self.is_window[w[1:][same]] = False
-        high = self.seq[at[:, None] + np.arange(width)]
+        self.seq[at] = np.searchsorted(self.vocabulary, h) + 1
+        key = keys(self.seq, at, width)
+        order = np.argsort(key, kind="stable")
+        key, at, self.item = key[order], at[order], doc[order]
+        self.place = at - doc[order] - words.bounds[:-1][self.item] if len(h) else np.zeros(0, np.int64)
+        left = words.counts[self.item] - self.place if len(h) else np.zeros(0, np.int64)
+        window = (left >= width) | (self.place == 0)
+        self.first = group_starts(key)  # of the suffixes that share their first words
+        self.key, self.at, self.position = key[self.first], at[self.first], at
+        group = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(key))))
+        # windows: of each its key, its words, and its items (owners[bounds[i]:bounds[i + 1]])
+        rows = np.flatnonzero(window)
+        pairs = np.unique(group[rows] * len(items) + self.item[rows])
+        self.window, begin = np.unique(pairs // max(len(items), 1), return_index=True)
+        self.owners, self.owner_bounds = pairs % max(len(items), 1), np.append(begin, len(pairs))
+        self.span = np.minimum((self.seq[self.at[self.window][:, None] + np.arange(width)] > 0).cumprod(1).sum(1), width) if len(rows) else np.zeros(0, np.int64)
+        high = self.seq[self.at[self.window][:, None] + np.arange(width)] if len(rows) else np.zeros((0, width), np.uint32)
         high[np.arange(width) >= self.span[:, None]] = 0xFFFFFFFF  # after every continuation
         self.ends = as_keys(high)
-        self.n = len(self.vocabulary) + 1
-        second = self.seq[at + 1] if len(h) else np.zeros(0, np.uint32)
-        pairs = np.unique(ids.astype(np.uint64) * np.uint64(self.n) + second)
-        self.alone = np.unique(ids[(self.place == 0) & (left == 1)])
-        self.pairs = pairs
+        second = self.seq[self.at + 1]
+        self.pair = self.seq[self.at].astype(np.uint64) * np.uint64(self.n) + second
+        self.pairs = np.unique(self.pair)
+        self.alone = np.unique(self.seq[self.at[self.window[self.span == 1]]])
+        self.is_alone = np.isin(self.seq[self.at], self.alone)
         self.table = None
         if self.n * self.n <= 1 << 26:
             self.table = np.zeros(self.n * self.n, bool)
-            self.table[pairs.astype(np.int64)] = True
+            self.table[self.pairs.astype(np.int64)] = True
             self.table[self.alone.astype(np.int64)[:, None] * self.n + np.arange(self.n)] = True
 
     def ids_of(self, h: np.ndarray) -> np.ndarray:
@@ -92,7 +111,12 @@ class Tests:
         code = a.astype(np.int64) * self.n + b
         if self.table is not None:
             return self.table[code] & (a > 0)
-        return (a > 0) & (np.isin(code.astype(np.uint64), self.pairs) | np.isin(a, self.alone))
+        return (a > 0) & (member(code.astype(np.uint64), self.pairs) | np.isin(a, self.alone))
+
+    def present(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which distinct suffixes share two words (or are a one-word test's word) with training suffixes that begin with a, b."""
+        code = np.unique(a.astype(np.uint64) * np.uint64(self.n) + b)
+        return np.flatnonzero(member(self.pair, code) | (self.is_alone & np.isin(self.seq[self.at], a)))
 
 
 def as_keys(rows: np.ndarray) -> np.ndarray:
@@ -109,129 +133,239 @@ def keys(seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 class Shard:
-    """Suffix array of a batch of training texts, against a block of tests."""
-
-    def __init__(self, texts: Texts, tests: Tests):
-        words = Words(texts.lower(), NON_ALNUM)
-        self.bounds, self.doc = words.bounds, words.doc()
-        at = np.arange(len(words)) + self.doc
-        self.seq = np.zeros(len(words) + len(texts) + tests.width, np.uint32)
-        self.seq[at] = tests.ids_of(words.hashes())
+    """Suffix array of a slice of training texts (its hashed words and their bounds), against a block of tests."""
+
+    def __init__(self, h: np.ndarray, bounds: np.ndarray, tests: Tests):
+        n = len(bounds) - 1
+        self.tests, self.bounds = tests, bounds
+        self.doc = np.repeat(np.arange(n), np.diff(bounds))
+        at = np.arange(len(h)) + self.doc
+        self.seq = np.zeros(len(h) + n + tests.width, np.uint32)
+        self.seq[at] = tests.ids_of(h)
         self.word_of = np.zeros(len(self.seq), np.int64)
-        self.word_of[at] = np.arange(len(words))
+        self.word_of[at] = np.arange(len(h))
         at = at[tests.may_start(self.seq[at], self.seq[at + 1])] if len(at) else at
         k = keys(self.seq, at, tests.width)
         order = np.argsort(k, kind="stable")
         self.suffixes, self.keys = at[order], k[order]
-
-    def hits(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(test suffix, first hit word, words) of each occurrence of a window."""
-        w = np.flatnonzero(tests.is_window)
-        lo = np.searchsorted(self.keys, tests.keys[w], "left")
-        hi = np.searchsorted(self.keys, tests.ends[w], "right")
+        # every test suffix that can match here, and its place in the array
+        self.asked = tests.present(self.seq[self.suffixes], self.seq[self.suffixes + 1]) if len(at) else np.zeros(0, np.int64)
+        self.place = np.searchsorted(self.keys, tests.key[self.asked], "left")
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first hit word) of each occurrence of a window."""
+        t = self.tests
+        i = np.searchsorted(self.asked, t.window)
+        i[i == len(self.asked)] = 0
+        w = np.flatnonzero(self.asked[i] == t.window) if len(self.asked) else np.zeros(0, np.int64)
+        lo = self.place[i[w]]
+        hi = np.searchsorted(self.keys, t.ends[w], "right")
         n = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(w)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return w[which], self.word_of[self.suffixes[place]], tests.span[w][which]
-
-    def longest(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-        """Of each test suffix: words of its longest match in this shard (0: none), first word of that match."""
-        n = len(tests.suffixes)
-        best, where = np.zeros(n, np.int64), np.full(n, -1)
-        if not len(self.suffixes) or not n:
-            return best, where
-        lo = np.searchsorted(self.keys, tests.keys, "left")
-        hi = np.searchsorted(self.keys, tests.keys, "right")
-        lo, hi = np.maximum(lo - 1, 0), np.minimum(hi + 1, len(self.keys))  # with the neighbours on both sides
-        count = hi - lo
-        test = np.repeat(np.arange(n), count)
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        a, b = tests.suffixes[test], self.suffixes[place]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return np.repeat(w, n), self.word_of[self.suffixes[at]]
+
+    def common(self, test: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words that the test suffixes at ``test`` (places in the tests' words) share with the training suffixes at ``place``."""
         size, live = np.zeros(len(test), np.int64), np.arange(len(test))
         while len(live):
-            x = tests.seq[a[live] + size[live]]
-            live = live[(x > 0) & (x == self.seq[b[live] + size[live]])]
+            x = self.tests.seq[test[live] + size[live]]
+            live = live[(x > 0) & (x == self.seq[place[live] + size[live]])]
             size[live] += 1
-        order = np.lexsort((b, -size, test))
-        first = order[group_starts(test[order])]
-        best[test[first]], where[test[first]] = size[first], self.word_of[b[first]]
-        return best, np.where(best > 0, where, -1)
-
-
-def blocks(tests: DataFrame, id_col: str, text_col: str, width: int):
-    """Broadcast blocks of the tests, by a hash of their ids and texts."""
-    spark = tests.sparkSession
-    rows = tests.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast(Tests([tuple(r) for r in part.toLocalIterator()], width))
+        return size
+
+    def nearest(self) -> np.ndarray:
+        """Of each training suffix: words, ``width`` at most, that it shares with any test suffix.
+
+        The test suffixes that share most stand right before and after it.
+        """
+        t, n = self.tests, len(self.suffixes)
+        best = np.zeros(n, np.int64)
+        if not len(self.asked):
+            return best
+        after = np.searchsorted(self.place, np.arange(n), "right")
+        for side in (after - 1, after):
+            some = np.flatnonzero((side >= 0) & (side < len(self.asked)))
+            size, live = np.zeros(len(some), np.int64), np.arange(len(some))
+            test, own = t.at[self.asked[side[some]]], self.suffixes[some]
+            for _ in range(t.width):
+                x = t.seq[test[live] + size[live]]
+                live = live[(x > 0) & (x == self.seq[own[live] + size[live]])]
+                size[live] += 1
+            best[some] = np.maximum(best[some], size)
+        return best
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(test suffix, words of its longest match in this shard, first word of that match), for those that share two words."""
+        t = self.tests
+        asked = np.searchsorted(t.first, np.arange(len(t.item)), "right") - 1  # all suffixes, by the distinct one they are like
+        i = np.searchsorted(self.asked, asked)
+        i[i == len(self.asked)] = 0
+        rows = np.flatnonzero(self.asked[i] == asked) if len(self.asked) else np.zeros(0, np.int64)
+        lo = self.place[i[rows]]
+        hi = np.searchsorted(self.keys, t.key[asked[rows]], "right")
+        lo, hi = np.maximum(lo - 1, 0), np.minimum(hi + 1, len(self.keys))  # with the neighbours on both sides
+        count = hi - lo
+        which = np.repeat(np.arange(len(rows)), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        b = self.suffixes[place]
+        size = self.common(t.position[rows][which], b)
+        order = np.lexsort((b, -size, which))
+        pick = order[group_starts(which[order])]
+        pick = pick[size[pick] > 0]
+        return rows[which[pick]], size[pick], self.word_of[b[pick]]
+
+
+_HELD: dict[str, Tests] = {}
+
+
+def _built(block) -> Tests:
+    """The arrays of a broadcast block; a worker keeps those of the last one."""
+    name, items, width = block.value
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Tests(items, width)
+    return _HELD[name]
+
+
+def blocks(tests: DataFrame, id_col: str, text_col: str, width: int) -> list:
+    """Broadcast blocks of the tests' texts; the driver reads them row by row and holds one block."""
+    sc = tests.sparkSession.sparkContext
+    made, held, size = [], [], 0
+    rows = tests.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t <> ''")
+    for i, t in rows.toLocalIterator(prefetchPartitions=True):
+        n = len(t.encode())
+        if held and size + n > BLOCK_BYTES:
+            made.append(sc.broadcast((uuid.uuid4().hex, held, width)))
+            held, size = [], 0
+        held.append((i, t))
+        size += n
+    if held or not made:
+        made.append(sc.broadcast((uuid.uuid4().hex, held, width)))
+    return made
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of at least ``size`` bytes of text (column ``at``)."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.column(at).nbytes
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _slices(texts: Texts):
+    """Per slice of texts: its first and last text, its hashed words and their bounds."""
+    for a, b in texts.slices():
+        words = Words(texts.part(a, b).lower(), NON_ALNUM)
+        yield a, b, words.hashes(), words.bounds
 
 
 _RANGES = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+_OUTPUTS = T.StructType([T.StructField("n_words", T.LongType(), False), T.StructField("hits", _RANGES), T.StructField("n_hit", T.LongType(), False), T.StructField("longest", T.LongType(), False), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+class Found:
+    """What the blocks have found in a batch of texts."""
+
+    def __init__(self, n: int):
+        self.n_words, self.longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.ranges: dict[int, list] = {}
+        self.items: dict[int, set] = {}
+
+    def add(self, first: int, shard: Shard) -> None:
+        t, bounds = shard.tests, shard.bounds
+        n = len(bounds) - 1
+        self.n_words[first : first + n] = np.diff(bounds)
+        near = shard.nearest()
+        if len(near):
+            best = np.zeros(n, np.int64)
+            np.maximum.at(best, shard.doc[shard.word_of[shard.suffixes]], np.where((near > 1) | np.isin(shard.seq[shard.suffixes], t.alone), near, 0))
+            self.longest[first : first + n] = np.maximum(self.longest[first : first + n], best)
+        window, begin = shard.hits()
+        if not len(window):
+            return
+        for d, w in np.unique(np.stack([shard.doc[begin], window]), axis=1).T.tolist():
+            own = self.items.setdefault(first + d, set())
+            own.update(t.names[i] for i in t.owners[t.owner_bounds[w] : t.owner_bounds[w + 1]].tolist())
+        edge = np.zeros(len(shard.doc) + 1, np.int64)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + t.span[window], -1)
+        hit = np.cumsum(edge[:-1]) > 0
+        new = np.ones(len(hit), bool)
+        new[1:] = shard.doc[1:] != shard.doc[:-1]
+        start = np.flatnonzero(hit & (new | ~np.concatenate(([False], hit[:-1]))))
+        stop = np.flatnonzero(hit & (np.concatenate((new[1:], [True])) | ~np.concatenate((hit[1:], [False])))) + 1
+        for d, x, y in zip(shard.doc[start].tolist(), start.tolist(), stop.tolist(), strict=True):
+            o = int(bounds[d])
+            self.ranges.setdefault(first + d, []).append((x - o, y - o))
+
+    def columns(self) -> list[pa.Array]:
+        n = len(self.n_words)
+        n_hit = np.zeros(n, np.int64)
+        hits: list[list] = [[] for _ in range(n)]
+        for d, own in self.ranges.items():
+            merged: list[list[int]] = []
+            for x, y in sorted(own):  # those of several blocks may overlap
+                if merged and x <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], y)
+                else:
+                    merged.append([x, y])
+            hits[d] = [{"a": x, "b": y} for x, y in merged]
+            n_hit[d] = sum(y - x for x, y in merged)
+            self.longest[d] = max(self.longest[d], max(y - x for x, y in merged))
+        items = [sorted(self.items.get(d, set()) - {None}) for d in range(n)]
+        return [pa.array(self.n_words), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(n_hit), pa.array(self.longest), pa.array(items, pa.list_(pa.string()))]
 
 
 def scan(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, percent: int = 5) -> DataFrame:
-    """docs with n_words, hits (ranges of hit words), n_hit, items (ids as strings, sorted) and contaminated.
+    """docs with n_words, hits (ranges of hit words), n_hit, longest, items (ids as strings, sorted) and contaminated.
 
-    A document is contaminated if it has hits and at least ``percent`` of its words are hit.
+    ``longest`` is the longest stretch of words that stands in the tests: the
+    longest range of hit words, or the most words, up to ``width``, that a test
+    suffix shares with the document, if those are more (0 below two words).  A
+    document is contaminated if it has hits and at least ``percent`` of its words
+    are hit.
     """
-    outputs = T.StructType([T.StructField("n_words", T.LongType(), False), T.StructField("hits", _RANGES), T.StructField("items", T.ArrayType(T.StringType()))])
-    out = without(docs, ["n_words", "hits", "n_hit", "items", "contaminated"])
-    for k, block in enumerate(blocks(tests, item_id_col, item_text_col, width)):
-        last = {f"_{c}": F.col(c) for c in ("hits", "items")} if k else {}
-        out = attach(out.withColumns(last), text_col, outputs, _search(block))
-        if k:
-            out = out.withColumns({c: F.concat(f"_{c}", c) for c in ("hits", "items")}).drop("_hits", "_items")
-    covered = F.aggregate(
-        F.array_sort("hits"),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e")),
-        lambda s, r: F.struct((s.n + F.greatest(F.lit(0), r.b - F.greatest(s.e, r.a))).alias("n"), F.greatest(s.e, r.b).alias("e")),
-        lambda s: s.n,
-    )
-    out = out.withColumns({"items": F.array_sort(F.array_distinct("items")), "n_hit": covered})
+    tune(docs.sparkSession)
+    own = [*_OUTPUTS.names, "contaminated"]
+    if text_col.lower() in own:
+        raise ValueError(f"{text_col} is both the text and an output")
+    held = blocks(tests, item_id_col, item_text_col, width)
+    out = without(docs, own)
+    at = out.columns.index(text_col)
+    schema = T.StructType([*out.schema.fields, *_OUTPUTS.fields])
+
+    def run(batches):
+        for chunk in _chunks(batches, at, CHUNK_BYTES if len(held) > 1 else 1):
+            texts = [Texts.of(b.column(at)) for b in chunk]
+            found = [Found(len(x)) for x in texts]
+            cut = ([(f, *s) for f, x in zip(found, texts, strict=True) for s in _slices(x)]) if len(held) > 1 else ((f, *s) for f, x in zip(found, texts, strict=True) for s in _slices(x))
+            for block in held:
+                t = _built(block)
+                for f, a, _, h, bounds in cut:
+                    f.add(a, Shard(h, bounds, t))
+            for b, f in zip(chunk, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*b.columns, *f.columns()], names=schema.names)
+
+    out = out.mapInArrow(run, schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(percent) * F.col("n_words")))
 
 
-def _search(block):
-    def work(batch, texts):
-        tests = block.value
-        n = len(texts)
-        n_words = np.zeros(n, np.int64)
-        ranges: list[list] = [[] for _ in range(n)]
-        items: list[list] = [[] for _ in range(n)]
-        for a, b in texts.slices():
-            shard = Shard(texts.part(a, b), tests)
-            n_words[a:b] = np.diff(shard.bounds)
-            test, first, span = shard.hits(tests)
-            if not len(test):
-                continue
-            doc = shard.doc[first]
-            for d, i in np.unique(np.stack([doc, tests.item[test]]), axis=1).T.tolist():
-                if tests.names[i] is not None:
-                    items[a + d].append(tests.names[i])
-            edge = np.zeros(len(shard.doc) + 1, np.int64)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, first + span, -1)
-            hit = np.cumsum(edge[:-1]) > 0
-            new = np.ones(len(hit), bool)
-            new[1:] = shard.doc[1:] != shard.doc[:-1]
-            begin = np.flatnonzero(hit & (new | ~np.concatenate(([False], hit[:-1]))))
-            stop = np.flatnonzero(hit & (np.concatenate((new[1:], [True])) | ~np.concatenate((hit[1:], [False])))) + 1
-            for d, x, y in zip(shard.doc[begin].tolist(), begin.tolist(), stop.tolist(), strict=True):
-                o = int(shard.bounds[d])
-                ranges[a + d].append({"a": x - o, "b": y - o})
-        return [pa.array(n_words), pa.array(ranges, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-
-    return work
-
-
-def decontaminate(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with the columns they came with."""
+def decontaminate(docs: DataFrame, tests: DataFrame, percent: int = 0, **options) -> DataFrame:
+    """The documents that no test touches, with the columns they came with.
+
+    Affected is a document with any occurrence of a window, however long it is;
+    with ``percent`` only one of whose words at least that share is hit.
+    """
     names = docs.columns
-    marked = scan(docs.withColumns({f"_own_{i}": F.col(f"`{c}`") for i, c in enumerate(names)}), tests, **options)
-    return marked.where(~F.col("contaminated")).select([F.col(f"_own_{i}").alias(c) for i, c in enumerate(names)])
+    text_col = options.pop("text_col", "text")
+    held = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    marked = scan(held, tests, text_col=f"own_{names.index(text_col)}", percent=percent, **options)
+    return marked.where(~F.col("contaminated")).select([F.col(f"own_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def longest_matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -239,27 +373,27 @@ def longest_matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", t
 
     Rows: item_id, item_word (place of the suffix), n_words of the match, and one
     location: the smallest document id that has it, with the word it begins at.
+    Documents with a null id are left out, as they could not be told.
     """
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
     schema = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("doc_id", kind), T.StructField("doc_word", T.LongType())])
-    found = None
-    for block in blocks(tests, item_id_col, item_text_col, width):
-
-        def run(batches, block=block):
-            t = block.value
-            for batch in batches:
-                texts = Texts.of(batch.column(1))
-                for a, b in texts.slices():
-                    shard = Shard(texts.part(a, b), t)
-                    size, where = shard.longest(t)
-                    s = np.flatnonzero(size > 1 if not len(t.alone) else size > 0)
-                    doc = shard.doc[where[s]] if len(s) else np.zeros(0, np.int64)
-                    begin = where[s] - shard.bounds[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array([t.names[i] for i in t.item[s]], pa.string()), pa.array(t.place[s]), pa.array(size[s]), batch.column(0).take(pa.array(doc + a)), pa.array(begin)], names=schema.names)
-
-        part = src.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    best = F.max_by(F.struct("n_words", "doc_id", "doc_word"), F.struct("n_words", (-F.col("doc_id")).alias("d") if kind.typeName() in ("long", "integer") else F.lit(0).alias("d"), (-F.col("doc_word")).alias("w"))).alias("m")
-    return found.groupBy("item_id", "item_word").agg(best).select("item_id", "item_word", "m.n_words", "m.doc_id", "m.doc_word")
+    held = blocks(tests, item_id_col, item_text_col, width)
+
+    def run(batches):
+        for chunk in _chunks(batches, 1, CHUNK_BYTES if len(held) > 1 else 1):
+            for block in held:
+                t = _built(block)
+                for batch in chunk:
+                    for a, _, h, bounds in _slices(Texts.of(batch.column(1))):
+                        shard = Shard(h, bounds, t)
+                        s, size, first = shard.longest()
+                        keep = (size > 1) | np.isin(t.seq[t.position[s]], t.alone)
+                        s, size, first = s[keep], size[keep], first[keep]
+                        doc = shard.doc[first]
+                        yield pa.RecordBatch.from_arrays([pa.array([t.names[i] for i in t.item[s]], pa.string()), pa.array(t.place[s]), pa.array(size), batch.column(0).take(pa.array(doc + a)), pa.array(first - shard.bounds[doc])], names=schema.names)
+
+    found = src.mapInArrow(run, schema)
+    first = F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_word")).alias("m")
+    return found.groupBy("item_id", "item_word").agg(first).select("item_id", "item_word", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.doc_word")

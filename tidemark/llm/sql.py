@@ -25,10 +25,22 @@ hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, t)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+stretch AS (
+  SELECT doc_id, max(n) AS n FROM (
+    SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits)) GROUP BY doc_id, g)
+  GROUP BY doc_id),
+parts AS (SELECT DISTINCT k, array_to_string(w[i : i + k - 1], ' ') AS t FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b, range(2, 13) r(k) WHERE len(w) >= k)),
+begin AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d))
+  SEMI JOIN (SELECT t FROM parts WHERE k = 2) USING (t)),
+shared AS (
+  SELECT doc_id, max(k) AS n FROM (SELECT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS t FROM begin JOIN d USING (doc_id), range(2, 13) r(k) WHERE i + k - 1 <= len(w))
+  SEMI JOIN parts USING (k, t) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(greatest(coalesce(stretch.n, 0), coalesce(shared.n, 0)) AS BIGINT) AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN stretch USING (doc_id) LEFT JOIN shared USING (doc_id)
 """
 
 #: Fixed value: the letters of base32.
