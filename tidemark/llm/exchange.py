@@ -1,15 +1,18 @@
 """Bucketed exchange: batches of documents ask questions about the whole corpus.
 
-Documents are dealt into buckets of a few MB by a hash of their content.  A
-bucket's task reduces its texts to sorted distinct keys (hashes of windows,
+Documents are dealt into buckets of a few MB by a hash of their content, and
+buckets to partitions by their number, so no partition gets two while another has
+none.  A bucket's task reduces its texts to sorted distinct keys (hashes of windows,
 words, byte contexts) and sends each range of keys to a part as one packed row.
 A part sees every bucket's keys of its range, decides, and answers each bucket
 in the order it asked.  Buckets then read the answers next to their texts.
 
 No key gets a row of its own, a key that many documents share costs one entry
-per bucket, and nothing is collected on the driver.  Number and size of buckets
-and parts follow the input, so a task's memory does not grow with it.  All
-rounds of an operator read one exchange of the texts.
+per bucket, and nothing is collected on the driver.  The number of buckets and
+parts follows the bytes of the texts themselves (not of the files, which may be
+compressed to any degree), so a task's memory does not grow with the input.  All
+rounds of an operator read one exchange of the texts.  Rows that are equal in all
+columns share a bucket: give rows an id where very many may be equal.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.textcore import size_bytes, tune
+from tidemark.llm.textcore import fresh, text_bytes, tune
 
-#: Bytes of input, as the optimiser reckons them, that a bucket and a part stand for.
-BUCKET_BYTES = 2 << 20
-PART_BYTES = 4 << 20
+#: Bytes of text that a bucket and a part stand for.
+BUCKET_BYTES = 6 << 20
+PART_BYTES = 12 << 20
+#: Partitions at most; more buckets or parts than that share them evenly.
+PARTITIONS = 20_000
 
 Row = tuple[int, int, int, bytes, bytes]
 
@@ -34,15 +39,13 @@ Row = tuple[int, int, int, bytes, bytes]
 class Exchange:
     def __init__(self, df: DataFrame, text_col: str, least: int = 48, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES):
         tune(df.sparkSession)
-        size = size_bytes(df, text_col)
+        size = text_bytes(df, text_col)
         self.buckets = max(least, -(-size // bucket_bytes))
         self.parts = max(24, -(-size // part_bytes))
-        self.partitions = self.buckets
-        self.key = "_bucket"
-        while self.key in {c.lower() for c in df.columns}:
-            self.key = "_" + self.key
+        self.partitions = min(self.buckets, PARTITIONS)
+        self.key = fresh(df, "_bucket")
         keys = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType, T.BinaryType))]
-        self.docs = df.withColumn(self.key, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")).repartition(self.partitions, self.key)
+        self.docs = df.withColumn(self.key, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")).repartitionById(self.partitions, self.key)
         self.text = self.docs.columns.index(text_col)
 
     def ask(self, work: Callable[[pa.Table], Iterator[Row]], answers: DataFrame | None = None) -> DataFrame:
@@ -65,7 +68,12 @@ class Exchange:
             made = work(t.column("kind")[0].as_py(), t.column("part")[0].as_py(), t.column("keys").to_pylist(), t.column("notes").to_pylist())
             return pa.Table.from_arrays([t.column("kind"), t.column("part"), t.column("bucket"), pa.array(made, pa.binary())], names=["kind", "part", "bucket", "data"])
 
-        return requests.groupBy("kind", "part").applyInArrow(run, "kind int, part int, bucket int, data binary").repartition(self.partitions, "bucket")
+        dealt = requests.withColumn("slot", F.col("kind") * F.lit(self.parts) + F.col("part")).repartitionById(min(self.parts, PARTITIONS), "slot")
+        return self.deal(dealt.groupBy("slot").applyInArrow(run, "kind int, part int, bucket int, data binary"))
+
+    def deal(self, answers: DataFrame) -> DataFrame:
+        """Answers next to the texts of their buckets.  A union of answers has to be dealt again: it loses its partitions, and the texts would be dealt anew."""
+        return answers.repartitionById(self.partitions, "bucket")
 
     def finish(self, answers: DataFrame, work: Callable[[pa.Table, dict[int, list[bytes]]], pa.Table], schema: T.StructType) -> DataFrame:
         return self._with(answers, work, schema)

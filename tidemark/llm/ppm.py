@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.exchange import Exchange, part_of, ranges
-from tidemark.llm.textcore import SPACE, Texts, Words, attach, group_starts, mix, pack_sorted, tune, unpack_sorted, without
+from tidemark.llm.textcore import SPACE, Texts, Words, attach, fresh, group_starts, mix, pack_sorted, tune, unpack_sorted, without
 
 ORDER = 5
 #: Bytes that UTF-8 never has: before a text, and after it.
@@ -192,11 +192,12 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
     if not 3 <= order <= 5:
         raise ValueError("order must be 3, 4 or 5: a byte in its context and its document share one 64-bit key")
     outputs = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    df = without(df, [*outputs, "_train"]).withColumn("_train", F.coalesce(train, F.lit(False)))
+    learn, summed, corpus = fresh(df, "_train"), fresh(df, "_counts"), fresh(df, "_totals")
+    df = without(df.withColumn(learn, F.coalesce(train, F.lit(False))), outputs)
     tune(df.sparkSession)
-    low = df.sparkSession.sparkContext.broadcast(low_levels(*_lower_orders(df, text_col, "_train")))
+    low = df.sparkSession.sparkContext.broadcast(low_levels(*_lower_orders(df, text_col, learn)))
     x = Exchange(df, text_col)
-    parts, text, flag, own_bucket = x.parts, x.text, x.docs.columns.index("_train"), x.key
+    parts, text, flag, own_bucket = x.parts, x.text, x.docs.columns.index(learn), x.key
 
     def slices(t: pa.Table):
         texts, train = Texts.of(t.column(text)).lower(), np.asarray(t.column(flag)).astype(bool)
@@ -239,11 +240,11 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
         if kind == WORDS:
             head = int((n > 0).sum()).to_bytes(8, "big") + int(n.sum()).to_bytes(8, "big")
             return [head + pack_numbers(n[np.searchsorted(u, k)]) for k in own]
-        p = log10_probabilities(u, n, low.value, order).astype("<f4")
+        p = log10_probabilities(u, n, low.value, order).astype("<f8")
         return [p[np.searchsorted(u, k)].tobytes() for k in own]
 
-    schema = T.StructType([*[f for f in df.schema if f.name != "_train"], *[T.StructField(c, T.LongType()) for c in outputs[:2]], T.StructField("_counts", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    kept = [c for c in df.columns if c != "_train"]
+    schema = T.StructType([*[f for f in df.schema if f.name != learn], *[T.StructField(c, T.LongType()) for c in outputs[:2]], T.StructField(summed, T.DoubleType()), T.StructField("score", T.DoubleType())])
+    kept = [c for c in df.columns if c != learn]
 
     def finish(t: pa.Table, told: dict[int, list[bytes]]) -> pa.Table:
         n = t.num_rows
@@ -262,7 +263,7 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
             found = np.concatenate([unpack_numbers(x[16:]) for x in told[WORDS]])
             g = distinct(np.concatenate([x[2] for x in held]))
             p = np.empty(len(g))
-            p[deal(g)[1]] = np.concatenate([np.frombuffer(x, "<f4") for x in told[CONTEXTS]])
+            p[deal(g)[1]] = np.concatenate([np.frombuffer(x, "<f8") for x in told[CONTEXTS]])
             for a, b, code, first, doc, (h, word_doc) in held:
                 c = found[np.searchsorted(own_words, h)]
                 n_tokens[a:b] = np.bincount(word_doc, minlength=b - a)
@@ -277,9 +278,9 @@ def score(df: DataFrame, train: Column, text_col: str = "text", order: int = ORD
     number = lambda at: F.conv(F.hex(F.substring("data", at, 8)), 16, 10).cast("long")
     per_part = answers.where(F.col("kind") == WORDS).groupBy("part").agg(F.max(number(1)).alias("v"), F.max(number(9)).alias("n"))
     totals = per_part.agg(F.struct(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).alias("s"))
-    out = out.withColumn("_totals", totals.scalar())
-    base = F.col("_counts") - F.col("n_tokens") * F.log10((F.col("_totals.n") + F.col("_totals.v") + 1).cast("double"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", "n_known", F.col("_totals.n").alias("train_tokens"), base.alias("base_score"), "score")
+    out = out.withColumn(corpus, totals.scalar())
+    base = F.col(summed) - F.col("n_tokens") * F.log10((F.col(f"{corpus}.n") + F.col(f"{corpus}.v") + 1).cast("double"))
+    return out.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", "n_known", F.col(f"{corpus}.n").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def pack_numbers(a: np.ndarray) -> bytes:

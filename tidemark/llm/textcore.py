@@ -243,14 +243,28 @@ def attach(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable[[
     return df.mapInArrow(run, schema)
 
 
-def size_bytes(df: DataFrame, text_col: str) -> int:
-    """Bytes the source of df holds: the optimiser's figure for files, else a count over the texts."""
-    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if told < 1 << 52:
-        return max(1, told)
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, with 32 for each row; 1 for an empty table."""
     from pyspark.sql import functions as F
 
-    return int(df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 1)
+    return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 32)).first()[0] or 1)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of its own in the shared folder: computed once, and not again when an executor is lost."""
+    import uuid
+
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def shared_dir(spark: SparkSession) -> str:
