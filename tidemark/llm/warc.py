@@ -13,7 +13,7 @@ records that start inside, reading past its end to finish the last one.  A
 candidate that does not decode to a WARC header whose length fits its block is
 skipped; magic bytes inside compressed data are such.
 
-Null payloads are empty.  Rows that repeat the largest id are all responses.
+An empty table gives an archive without records.  Null payloads are empty, very long ones are read whole.  Rows that repeat the largest id are all responses.
 Null ids refer to the response like others and are responses where no id is
 known.  A null url is left out of the record.  Files are reached through
 pyarrow's file systems (file, hdfs, s3, gs).
@@ -39,6 +39,8 @@ from tidemark.llm.textcore import shared_dir, tune
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task scans.
 SPLIT_BYTES = 4 << 20
+#: A payload of one page in so many is a hot key; so many can be hot at most.
+HOT = 1024
 #: Bytes read at a time.
 READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -155,11 +157,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     tune(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    src = src.withColumn("digest", F.sha1("payload"))
-    best = src.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("best"))
-    src = src.join(best, "digest", "left")
-    refers = F.when(F.col("best") != F.coalesce("id", F.col("best") - 1), F.col("best"))
-    out = src.select(F.col("id").cast("string").alias("id"), "url", "payload", refers.cast("string").alias("refers_to"))
+    out = _referred(src, min_bytes).select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -182,6 +180,26 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     return folder
 
 
+def _referred(src: DataFrame, min_bytes: int) -> DataFrame:
+    """src (id, url, payload) with refers_to: the id of the response with the same payload, null for responses.
+
+    A payload that many pages share (an error page) would be one key of a join.
+    Digests of at least 1 in ``HOT`` pages, of which there are at most HOT, are
+    broadcast instead, and their pages are dealt by a hash of their own.
+    """
+    src = src.withColumn("digest", F.sha1("payload"))
+    each = src.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("best"), F.count("*").alias("n"))
+    least = each.agg((F.sum("n") / HOT).alias("n")).scalar()
+    many = each.where("n > 1").withColumn("hot", F.col("n") >= least)
+    hot = many.where("hot").select(F.col("digest").alias("hot_digest"), F.col("best").alias("hot_best"))
+    rest = many.where("not hot").select(F.col("digest").alias("rest_digest"), F.col("best").alias("rest_best"))
+    src = src.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    key = F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(F.hex(F.xxhash64("id", "url")))
+    best = F.coalesce("hot_best", "rest_best")
+    src = src.join(rest, key == F.col("rest_digest"), "left")
+    return src.withColumn("refers_to", F.when(best != F.coalesce("id", best - 1), best))
+
+
 SCHEMA = "file string, offset long, type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
