@@ -10,7 +10,7 @@ nothing is collected.  Rounds are checkpointed in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.textcore import shared_dir
@@ -22,23 +22,31 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends, loops and repeated edges are ignored.  No edges give no rows.
     """
     shared_dir(edges.sparkSession)
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges, n = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), F.count("*"))
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"))
-        moved = True
+        moved = n
         while moved:
             far = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            step = hook.join(far, "p").select("v", "p", "pp").checkpoint()
-            moved = not step.where("p <> pp").isEmpty()
+            step, moved = kept(hook.join(far, "p").select("v", "p", "pp"), F.count_if(F.col("p") != F.col("pp")))
             hook = step.select("v", F.col("pp").alias("p"))
         if labels is None:
             labels = hook.select("v", F.col("p").alias("root"))
         else:
             labels = labels.join(hook.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root")).checkpoint()
+        if not n:
+            return labels
         left = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         right = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        edges = edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct().checkpoint()
-        if edges.isEmpty():
+        edges, n = kept(edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), F.count("*"))
+        if not n:
             return labels
+
+
+def kept(df: DataFrame, count: Column) -> tuple[DataFrame, int]:
+    """df checkpointed, and a count over its rows that is taken on the way."""
+    seen = Observation()
+    held = df.observe(seen, count.alias("n")).checkpoint()
+    return held, seen.get["n"]

@@ -18,13 +18,19 @@ the connected components of links.
    sets are not compared again, so copies cost no pairs among themselves.  The
    estimate must be within ``SLACK`` of the threshold, six standard deviations
    at 0.85 and five at 0.80.
-5. A group of more than ``GROUP_SHINGLES`` is dealt into blocks, and a task gets
-   two blocks at a time, all pairs of blocks in turn; the forests found are
-   joined by their components.  No task holds a whole large group.
-
-Sets use 64-bit hashes.  Texts without words link with nothing.  Null ids are
-never linked: component_id is null and kept is true.  Rows with the same id are
-one vertex.  Columns named like an output are replaced.
+5. A group of more than ``GROUP_ROWS`` sets or ``GROUP_SHINGLES`` is dealt into
+   blocks of at most that.  Each block meets the first one only, which holds
+   members of every large family, so each set is copied once.  What links are
+   left undone can only be within buckets that now hold sets of different
+   classes; their sets make new, mostly small groups.  Of one that is still
+   large the sets outside its largest class, dealt into blocks too, meet all
+   blocks.  No task holds a whole large group.
+
+Sets use 64-bit hashes.  Texts without words (null, empty) link with nothing.
+Null ids are never linked: component_id is null and kept is true.  Rows with the
+same id are one vertex, whatever their texts: what one of them links to, all do.
+Very long texts are whole sets like others, ties are broken by the least id, an
+empty table gives no rows.  Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -35,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.graph import components
-from tidemark.llm.textcore import SPACE, Texts, Words, mix, shared_dir, tune, windows
+from tidemark.llm.graph import components, kept
+from tidemark.llm.textcore import SPACE, Texts, Words, group_starts, mix, shared_dir, tune, windows
 
 SHINGLE = 5
 HASHES, ROWS, BITS = 128, 4, 4
 SLACK = 0.2
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES, GROUP_ROWS = 2_000_000, 20_000
+#: Blocks that the sets outside the largest class are copied to, where they need not be more.
+COPIES = 16
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -110,6 +118,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
+def digests(x: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """128 bits that stand for each set; None for an empty one."""
+    out: list[bytes | None] = [None] * (len(bounds) - 1)
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    if len(some):
+        sums = np.stack([np.add.reduceat(mix(x + np.uint64(s)), bounds[:-1][some]) for s in (1, 2)], axis=1)
+        for k, i in enumerate(some.tolist()):
+            out[i] = sums[k].tobytes()
+    return out
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, digest of the set, bands, signature) of each document."""
     tune(docs.sparkSession)
@@ -124,22 +143,21 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n = np.diff(bounds)
                 some = np.flatnonzero(n > 0)
                 m = minima(x, bounds)
-                digest, key, sig = [None] * (b - a), [None] * (b - a), [None] * (b - a)
+                digest, key, sig = digests(x, bounds), [None] * (b - a), [None] * (b - a)
                 if len(some):
-                    first = bounds[:-1][some]
-                    sums = np.stack([np.add.reduceat(mix(x + np.uint64(s)), first) for s in (1, 2)], axis=1)
                     all_keys, all_sigs = bands(m).view(np.int64).tolist(), pack(m)
                     for k, i in enumerate(some.tolist()):
-                        digest[i], key[i], sig[i] = sums[k].tobytes(), all_keys[k], all_sigs[k].tobytes()
+                        key[i], sig[i] = all_keys[k], all_sigs[k].tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(key, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def resolve(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int) -> np.ndarray:
-    """Root (least id) of each member of a group, by links within the group."""
-    order = np.argsort(ids)
+def resolve(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int, label: np.ndarray | None = None) -> np.ndarray:
+    """Root (least id) of each member of a group, by links within the group; members of equal label are linked beforehand."""
+    order = np.argsort(ids, kind="stable")
     ids, sets, signatures = ids[order], [sets[i] for i in order], signatures[order]
+    label = ids if label is None else label[order]
     size = np.array([len(s) for s in sets])
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
     end = np.cumsum(size)
@@ -148,14 +166,20 @@ def resolve(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, per
     root = np.full(len(ids), -1)
     left = np.arange(len(ids))
     while len(left):
-        seed, left = left[0], left[1:]
-        root[seed] = seed
-        reached = [seed]
-        while reached and len(left):
+        seed = left[0]
+        linked = left[label[left] == label[seed]]
+        reached: list[int] = []
+        while True:
+            root[linked] = seed
+            reached += linked.tolist()
+            left = left[root[left] < 0]
+            if not reached or not len(left):
+                break
             u = reached.pop()
             low, high = np.minimum(size[left], size[u]), np.maximum(size[left], size[u])
             near = left[100 * low >= percent * high]
             near = near[estimate(signatures[u], signatures[near]) >= percent / 100 - SLACK]
+            linked = near[:0]
             if not len(near):
                 continue
             own = local[begin[u] : end[u]]
@@ -166,65 +190,149 @@ def resolve(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, per
             common = np.add.reduceat(marked[local[at]].astype(np.int64), stop - n)
             marked[own] = False
             linked = near[100 * common >= percent * (size[u] + n - common)]
-            root[linked] = seed
-            reached += linked.tolist()
-            left = left[root[left] < 0]
+            if len(linked):
+                linked = left[np.isin(label[left], label[linked])]
     out = np.empty(len(ids), ids.dtype)
     out[order] = ids[root]
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def _stars(probes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Edges of the sets of each bucket (key, least) to its least one."""
+    return probes.join(buckets, "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+
+
+def _links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(rep, root, split, own) of the links found among members (grp, split, label, rep, digest, signature, first, and the tasks i, j they meet in).
+
+    root is the least of the ``first`` members that rep is linked with in the task,
+    or the least member where there is none; own marks tasks (0, j) for rep's block j.
+    """
+    id_type = dict(texts.dtypes)["rep"]
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
+        own = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+        sigs = np.stack([np.frombuffer(s, np.uint64) for s in t.column("signature").to_pylist()])
+        digest, early = t.column("digest").to_pylist(), np.asarray(t.column("first")).astype(bool)
+        pick = list({x: i for i, x in enumerate(zip(ids.tolist(), digest, strict=True))}.values())  # one may have come as both sides
+        ids, early = ids[pick], early[pick]
+        root = resolve(ids, [own[i] for i in pick], sigs[pick], percent, label[pick])
+        if early.any():
+            order = np.lexsort((ids, ~early, root))  # of each class a member of the first block, the least one
+            at = group_starts(root[order])
+            root = np.repeat(ids[order][at], np.diff(np.append(at, len(ids))))[np.argsort(order, kind="stable")]
+        mine = ~early if t.column("j")[0].as_py() else np.ones(len(ids), bool)
+        return pa.Table.from_arrays([pa.array(ids), pa.array(root), pa.array(np.full(len(ids), t.column("split")[0].as_py(), bool)), pa.array(mine)], names=["rep", "root", "split", "own"])
+
+    tasks = members.groupBy("rep", "digest").agg(F.any_value("signature").alias("signature"), F.collect_list(F.struct("grp", "i", "j", "split", "label", "first")).alias("tasks"))
+    dealt = _with_sets(texts.join(tasks, "rep")).select("rep", "digest", "signature", "set", F.inline("tasks"))
+    return dealt.groupBy("grp", "i", "j").applyInArrow(run, f"rep {id_type}, root {id_type}, split boolean, own boolean").where("rep <> root")
+
+
+def _once(texts: DataFrame, per: DataFrame) -> DataFrame:
+    """texts (rep, text), of which equal rows of an id that is there twice (per id: n) are one."""
+    again = per.where("n > 1").select(F.col("id").alias("rep"))
+    return texts.join(again, "rep", "left_semi").distinct().unionByName(texts.join(again, "rep", "left_anti"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, group_shingles: int = GROUP_SHINGLES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, n_shingles, component_id) of each document; ids are integers."""
     shared_dir(docs.sparkSession)
     told = signed(docs, id_col, text_col).checkpoint()
-    sets = told.where("digest is not null and id is not null").groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
+    known = told.where("digest is not null and id is not null")
+    sets = known.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")).checkpoint()
+    by_digest = sets.select("digest", "n_shingles", "rep")
+    per = known.groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y"))
+    most, differ = per.agg(F.max("n"), F.count_if(F.col("x") != F.col("y"))).first()
+    free = _several_texts(known, by_digest, per) if differ else None
     probes = sets.select("rep", F.explode("bands").alias("key"))
     buckets = probes.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    groups = components(probes.join(buckets, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    member = groups.join(sets.select("rep", "n_shingles", "signature"), groups.v == F.col("rep")).select("rep", F.col("root").alias("grp"), "n_shingles", "signature")
-    blocks = member.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / F.lit(group_shingles))).cast("int").alias("blocks"))
-    member = member.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).checkpoint()
-
+    stars = _stars(probes, buckets)
+    groups = components(stars if free is None else stars.unionByName(free))
+    member = groups.join(sets, groups.v == F.col("rep")).select("rep", F.col("root").alias("grp"), "n_shingles", "digest", "signature")
+    blocks = member.groupBy("grp").agg(F.ceil(F.greatest(F.lit(1), F.sum("n_shingles") / group_shingles, F.count("*") / group_rows)).cast("int").alias("blocks"))
+    member = member.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    member, n_split = kept(member, F.count_if(F.col("blocks") > 1))
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
-    full = _with_sets(texts.join(member, "rep"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = full.select("grp", "blocks", "rep", "signature", "set", "block", other).select("grp", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "signature", "set")
-    id_type = dict(docs.dtypes)[id_col]
-
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("rep").to_numpy()
-        own = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
-        sigs = np.stack([np.frombuffer(s, np.uint64) for s in t.column("signature").to_pylist()])
-        ids, first = np.unique(ids, return_index=True)  # a repeated id is one vertex, by any of its texts
-        root = resolve(ids, [own[i] for i in first], sigs[first], percent)
-        return pa.Table.from_arrays([pa.array(ids), pa.array(root), pa.array(np.full(len(ids), t.column("blocks")[0].as_py(), np.int32))], names=["rep", "root", "blocks"])
-
-    found = dealt.groupBy("grp", "i", "j").applyInArrow(run, f"rep {id_type}, root {id_type}, blocks int").checkpoint()
-    roots = found.where("blocks = 1 and rep <> root").select("rep", "root")
-    split = found.where("blocks > 1 and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    if not split.isEmpty():
-        roots = roots.unionByName(components(split).select(F.col("v").alias("rep"), "root").where("rep <> root"))
-    by_set = sets.select("digest", "n_shingles", "rep").join(roots, "rep", "left").select("digest", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    if (most or 0) > 1:
+        texts = _once(texts, per)
+    # each block meets the first one
+    with_first = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+    dealt = member.select("grp", F.lit(0).alias("i"), with_first.alias("j"), (F.col("blocks") > 1).alias("split"), F.col("rep").alias("label"), "rep", "digest", "signature", (F.col("block") == 0).alias("first"))
+    links = _links(dealt, texts, percent).checkpoint()
+    roots = links.where("not split").select("rep", "root")
+    edges = None
+    if n_split:
+        edges = links.where("split").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+        more = _undone(links.where("split and own"), member.where("blocks > 1"), sets, texts, percent, group_shingles, group_rows)
+        edges = edges if more is None else edges.unionByName(more.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    if free is not None:  # may join any two groups' sets
+        own = roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(free)
+        edges, roots = own if edges is None else edges.unionByName(own), roots.limit(0)
+    if edges is not None:
+        roots = roots.unionByName(components(edges).select(F.col("v").alias("rep"), "root").where("rep <> root"))
+    by_set = by_digest.join(roots, "rep", "left").select("digest", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     out = told.select("id", "n_shingles", "digest").join(by_set, ["digest", "n_shingles"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
 
 
+def _several_texts(known: DataFrame, by_digest: DataFrame, per: DataFrame) -> DataFrame:
+    """Edges from ids with several texts, which are one vertex, to the representatives of those."""
+    several = per.where("x <> y").select("id")
+    held = known.join(several, "id", "left_semi").select("id", "digest", "n_shingles").join(by_digest, ["digest", "n_shingles"])
+    return held.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+
+
+def _undone(links: DataFrame, member: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, group_shingles: int, group_rows: int) -> DataFrame | None:
+    """The links that split groups may lack: among the sets of buckets with different classes.
+
+    Classes are told by what each set is linked to in its own block's task, and that
+    in the first block's: of one class are only sets that are linked, though two
+    classes may be one.
+    """
+    at_first = links.select(F.col("rep").alias("root"), F.col("root").alias("then"))
+    label = links.join(at_first, "root", "left").select(F.col("rep").alias("v"), F.coalesce("then", "root").alias("label"))
+    named = member.select("rep", "digest", "n_shingles", "signature").join(label, F.col("v") == F.col("rep"), "left").select("rep", "digest", "n_shingles", "signature", F.coalesce("label", "rep").alias("label"))
+    named = named.join(sets.select("digest", "n_shingles", "bands"), ["digest", "n_shingles"]).checkpoint()
+    probes = named.select("rep", "label", F.explode("bands").alias("key"))
+    mixed = probes.groupBy("key").agg(F.min("rep").alias("least"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "least")
+    groups = components(_stars(probes.select("rep", "key"), mixed))
+    if groups.isEmpty():
+        return None
+    again = named.drop("bands").join(groups, F.col("v") == F.col("rep")).select(F.col("root").alias("grp"), "rep", "digest", "n_shingles", "signature", "label")
+    classes_ = again.groupBy("grp", "label").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
+    per = classes_.groupBy("grp").agg(F.max_by("label", F.struct("s", "label")).alias("top"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("s").alias("top_s"))
+    all_ = F.greatest(F.col("s") / group_shingles, F.least(F.lit(COPIES), F.col("n") / group_rows))
+    rest = (F.col("s") - F.col("top_s")) / group_shingles
+    per = per.select("grp", "top", F.ceil(F.greatest(F.lit(1), all_)).cast("int").alias("blocks"), F.ceil(F.greatest(F.lit(1), rest)).cast("int").alias("others"))
+    at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    again = again.join(per, "grp").withColumn("block", at(1, "blocks")).withColumn("other", at(2, "others"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # the sets outside the largest class meet all blocks, so they stand in every block's task as well
+    outside = F.col("label") != F.col("top")
+    pairs = F.when(~outside, F.transform(upto("others"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).otherwise(F.array_union(F.transform(upto("others"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))), F.transform(upto("blocks"), lambda j: F.struct(F.col("other").alias("i"), j.alias("j")))))
+    met = again.select("grp", F.explode(pairs).alias("at"), "label", "rep", "digest", "signature")
+    return _links(met.select("grp", "at.i", "at.j", F.lit(True).alias("split"), "label", "rep", "digest", "signature", F.lit(False).alias("first")), texts, percent).checkpoint()
+
+
 def _with_sets(df: DataFrame) -> DataFrame:
-    """df with the shingle set of text (as bytes) in its place."""
+    """df (text, digest and others) with the set of text (as bytes) in its place, where that has the digest."""
     names = [c for c in df.columns if c != "text"]
-    at = df.columns.index("text")
+    at, want = df.columns.index("text"), df.columns.index("digest")
     keep = [df.columns.index(c) for c in names]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("set", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            texts = Texts.of(batch.column(at))
+            texts, told = Texts.of(batch.column(at)), batch.column(want).to_pylist()
             for a, b in texts.slices():
                 x, bounds = shingles(texts.part(a, b))
-                own = [x[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keep), pa.array(own, pa.binary())], names=schema.names)
+                rows = [i for i, d in enumerate(digests(x, bounds)) if d is not None and d == told[a + i]]
+                own = [x[bounds[i] : bounds[i + 1]].tobytes() for i in rows]
+                pick = pa.array([a + i for i in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in keep), pa.array(own, pa.binary())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -239,7 +347,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     Links are from similarity 0.80 on; the 0.85 of ``mark`` is that of op10 alone.
 
-    Rows with a null id stay.  Of rows that repeat an id all or none stay.
+    Rows with a null id stay.  Of rows that repeat the id of a representative one
+    stays, whichever comes first.
     """
-    gone = mark(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    told = mark(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", percent)
+    own = docs.columns
+    held = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)])
+    at = f"own_{own.index(id_col)}"
+    ids = told.where("id is not null").groupBy("id").agg(F.bool_or(~F.col("kept")).alias("gone"), (F.count("*") > 1).alias("again")).where("gone or again")
+    marked = held.join(ids, F.col(at) == F.col("id"), "left").where(~F.coalesce("gone", F.lit(False)))
+    once = marked.where("again").dropDuplicates([at]).unionByName(marked.where("again is null"))
+    return once.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)])
