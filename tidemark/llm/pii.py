@@ -8,12 +8,15 @@ and bank accounts.  It is trained from a small labelled table on the driver and
 decoded by Viterbi in numpy, all segments of a batch at once.  Its spans never
 touch base spans, which always stay.
 
-Words without a digit or ``@`` have no label but "other" in training, so segments
-are cut where two or more of them stand between such words: decoding the rest
-could not add a span.
-
-Spans are code point ranges, end exclusive.  Null texts have none.  Columns named
-like an output are replaced.
+Words are taken apart at signs that stand between a name and its value
+(``iban:DE..``, ``phone=..``), and words of more than ``LONG`` bytes at all signs that
+no number has; every piece is read whole.  Words without a digit can have no
+label but "other".  So segments may be cut where two or more of them stand between
+others: decoding the rest could not add a span.
+
+Spans are code point ranges, end exclusive.  Null and empty texts have none, very
+long ones are searched whole, repeated rows are rows like others, an empty table
+gives none.  Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -116,6 +119,9 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % SLOTS
 
 
+_NO_DIGIT = SLOTS  # a slot of its own for words without a digit
+
+
 @functools.lru_cache(maxsize=200_000)
 def _own(word: str) -> tuple[str, str, int]:
     a, b = core(word)
@@ -133,7 +139,7 @@ def word_features(words: list[str]) -> list[list[int]]:
     for i, (s, t, d) in enumerate(own):
         b, a = own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none
         bb = own[i - 2] if i > 1 else none
-        out.append([_slot(x) for x in ("1", "s" + s, "d" + str(d), "b" + b[0], "a" + a[0], "bs" + b[0] + "|" + s, "sa" + s + "|" + a[0], "t" + t, "bt" + (b[1] or bb[1]), "bts" + (b[1] or bb[1]) + "|" + s)])
+        out.append([_NO_DIGIT if not d else _slot("d" + str(d)), *(_slot(x) for x in ("1", "s" + s, "b" + b[0], "a" + a[0], "bs" + b[0] + "|" + s, "sa" + s + "|" + a[0], "t" + t, "bt" + (b[1] or bb[1]), "bts" + (b[1] or bb[1]) + "|" + s, "at" + a[1], "ats" + a[1] + "|" + s))])
     return out
 
 
@@ -145,8 +151,9 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[list[str], list
     end = lambda: r.choice(["", "", "", ".", ",", "!!", "###", "***", "&&&", "$$$", "%%%", " |"]).strip()
     upper = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(k))
     phones = [lambda: [f"({n(3)})", f"{n(3)}-{n(4)}"], lambda: [f"{n(3)}-{n(3)}-{n(4)}"], lambda: [f"({n(3)}){n(3)}-{n(4)}"], lambda: [f"1-{n(3)}-{n(3)}-{n(4)}"]]
-    told = [lambda: [f"0{n(3)}", n(6)], lambda: [f"0{n(2)}/{n(7)}"], lambda: [f"{n(3)}.{n(3)}.{n(4)}"], lambda: [n(10)]]
-    plain = [lambda: n(4), lambda: n(2), lambda: n(1), lambda: f"{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(1)}.{n(2)}", lambda: f"20{n(2)}-{n(2)}-{n(2)}", lambda: f"{n(2)}/{n(2)}/20{n(2)}", lambda: f"{n(2)}:{n(2)}", lambda: f"{n(3)},{n(3)}", lambda: "%032x" % r.getrandbits(128), lambda: "%010x" % r.getrandbits(40), lambda: upper(2) + n(3), lambda: f"{n(3)}-{n(2)}", lambda: f"v{n(1)}", lambda: n(10), lambda: n(16), lambda: f"{n(4)}-{n(4)}", lambda: f"id={n(6)}", lambda: f"{word()}.{n(2)}@mail{n(1)}.example.com", lambda: f"{n(3)}.{n(2)}.{n(3)}.{n(2)}", lambda: "$" + n(3), lambda: n(3) + "%", lambda: f"({n(4)})", lambda: f"[{n(2)}]", lambda: f"+{n(2)}", lambda: f"{n(4)}.{n(4)}", lambda: upper(3) + "-" + n(4)]
+    after = [lambda: "tel", lambda: "Tel.", lambda: "(mobile)", lambda: "phone", lambda: "fax"]
+    told = [lambda: [f"0{n(3)}", n(6)], lambda: [f"0{n(3)}", n(7)], lambda: [f"0{n(2)}", n(3), n(4)], lambda: [f"0{n(2)}/{n(7)}"], lambda: [f"{n(3)}.{n(3)}.{n(4)}"], lambda: [n(10)]]
+    plain = [lambda: n(4), lambda: n(2), lambda: n(1), lambda: f"{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(1)}.{n(2)}", lambda: f"20{n(2)}-{n(2)}-{n(2)}", lambda: f"{n(2)}/{n(2)}/20{n(2)}", lambda: f"{n(2)}:{n(2)}", lambda: f"{n(3)},{n(3)}", lambda: "%032x" % r.getrandbits(128), lambda: "%010x" % r.getrandbits(40), lambda: upper(2) + n(3), lambda: f"{n(3)}-{n(2)}", lambda: f"v{n(1)}", lambda: n(10), lambda: n(16), lambda: f"{n(4)}-{n(4)}", lambda: f"id={n(6)}", lambda: f"{word()}.{n(2)}@mail{n(1)}.example.com", lambda: f"{n(3)}.{n(2)}.{n(3)}.{n(2)}", lambda: "$" + n(3), lambda: n(3) + "%", lambda: f"({n(4)})", lambda: f"[{n(2)}]", lambda: f"+{n(2)}", lambda: f"{n(4)}.{n(4)}", lambda: upper(3) + "-" + n(4), lambda: word() + n(r.randint(1, 6)), lambda: word() + "_" + n(r.randint(1, 4)), lambda: word() + "-" + n(2)]
     out = []
     for _ in range(rows):
         words, labels = [], []
@@ -155,11 +162,25 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[list[str], list
             words.extend(own)
             labels.extend([label] * len(own))
 
+        def add_named(names, value, label, words=words, labels=labels):
+            """A name and its value in one word, which texts are read in two pieces of."""
+            words.extend([r.choice(names), value])
+            labels.extend(["other", label])
+
         add([word() for _ in range(r.randint(0, 2))], "other")
         for _ in range(r.randint(1, 2)):
             kind = r.random()
-            if kind < 0.2:
+            if kind < 0.16:
                 add(r.choice(phones)(), "phone")
+            elif kind < 0.2:
+                add(r.choice(phones + told)(), "phone")
+                add([r.choice(after)()], "other")
+            elif kind < 0.22:
+                add_named(["phone", "tel", "Tel", "mobile", "fax"], "".join(r.choice(phones)()), "phone")
+            elif kind < 0.24:
+                add_named(["iban", "IBAN", "account"], f"{upper(2)}{n(r.choice([18, 20, 22]))}", "iban")
+            elif kind < 0.26:
+                add_named(["ssn", "SSN"], f"{n(3)}-{n(2)}-{n(4)}", "ssn")
             elif kind < 0.3:
                 add([r.choice(["tel", "Tel.:", "phone", "call", "mobile", "fax", "Phone:"])], "other")
                 add(r.choice(phones + told)(), "phone")
@@ -170,15 +191,22 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[list[str], list
                 add([r.choice(["iban", "IBAN:", "account", "konto", word()])], "other")
                 add([f"{upper(2)}{n(2)}", *[n(4) for _ in range(r.randint(4, 5))], n(2)] if r.random() < 0.5 else [f"{upper(2)}{n(r.choice([18, 20, 22]))}"], "iban")
             else:
-                for _ in range(r.randint(1, 3)):
+                for _ in range(r.choice([1, 1, 2, 3, 6])):
                     add([r.choice(plain)()], "other")
             if words:
                 words[-1] += end()
             add([word() for _ in range(r.randint(1, 3))], "other")
-        out.append((words, labels))
+        out.append(_cut(words, labels))
     return out
 
 
+def _cut(words: list[str], labels: list[str]) -> tuple[list[str], list[str]]:
+    """Labelled words in the pieces that texts are read in."""
+    pieces = [[m.decode() for m in _VALUE.findall(w.encode())] if any("0" <= c <= "9" for c in w) else [] for w in words]
+    pieces = [p or [w] for p, w in zip(pieces, words, strict=True)]
+    return [x for p in pieces for x in p], [y for p, y in zip(pieces, labels, strict=True) for _ in p]
+
+
 class Field:
     """Weights of a linear-chain conditional random field: (slot, label) and (label, label)."""
 
@@ -194,6 +222,8 @@ class Field:
             row = np.repeat(np.arange(len(segments)), size)
             col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             out[row, col] = self.emission[flat].sum(1)
+            plain = (flat == _NO_DIGIT).any(1)
+            out[row[plain], col[plain], 1:] = -1e6
         return out, size
 
     def viterbi(self, segments: list[list[list[int]]]) -> list[np.ndarray]:
@@ -226,7 +256,7 @@ def train(table: list[tuple[list[str], list[str]]], labels: list[str] = LABELS,
     """Maximum likelihood by Adam, with forward-backward over all segments at once."""
     segments = [word_features(w) for w, _ in table]
     k = len(labels)
-    field = Field(np.zeros((SLOTS, k)), np.zeros((k, k)))
+    field = Field(np.zeros((SLOTS + 1, k)), np.zeros((k, k)))
     size = np.array([len(s) for s in segments])
     most = size.max(initial=1)
     flat = np.array([f for s in segments for f in s])
@@ -252,7 +282,7 @@ def train(table: list[tuple[list[str], list[str]]], labels: list[str] = LABELS,
         p = np.exp(f + b - z[:, None, None])[row, col]
         got_e = np.zeros_like(want_e)
         for j in range(k):
-            got_e[:, j] = np.bincount(flat.ravel(), np.repeat(p[:, j], flat.shape[1]), minlength=SLOTS)
+            got_e[:, j] = np.bincount(flat.ravel(), np.repeat(p[:, j], flat.shape[1]), minlength=SLOTS + 1)
         pair = np.exp(f[:, :-1, :, None] + field.transition[None, None] + (e[:, 1:] + b[:, 1:])[:, :, None] - z[:, None, None, None])
         got_t = (pair * inside[:, 1:, None, None]).sum((0, 1))
         for i, g in enumerate((want_e - got_e - decay * field.emission, want_t - got_t - decay * field.transition)):
@@ -271,15 +301,21 @@ _ACTIVE = _table(b"0123456789@")
 
 
 _PIECE = re.compile(rb"[0-9A-Za-z@().+-]+|[\x80-\xff]+")
+_VALUE = re.compile(rb"[^:=;,<>|\"']+")
+_PARTS = _table(b":=;,<>|\"'")
 
 
 def _pieces(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words and the bounds of each text's own; long words are cut at signs that no number has, and where other scripts begin or end."""
+    """Starts and ends of words and the bounds of each text's own; words with digits are cut between names and values, long ones at signs that no number has, and where other scripts begin or end."""
     starts, ends = words.starts, words.ends
     n = np.ones(len(starts), np.int64)
     cut = {}
-    for i in np.flatnonzero(ends - starts > LONG).tolist():
-        cut[i] = np.array([m.span() for m in _PIECE.finditer(words.buf[starts[i] : ends[i]].tobytes())] or [(0, ends[i] - starts[i])]) + starts[i]
+    some = np.unique(np.searchsorted(starts, np.flatnonzero(_PARTS[words.buf]), side="right") - 1)
+    digits = np.concatenate(([0], np.cumsum(_ACTIVE[words.buf])))
+    some = some[digits[ends[some]] > digits[starts[some]]]
+    for i in np.union1d(some, np.flatnonzero(ends - starts > LONG)).tolist():
+        pattern = _PIECE if ends[i] - starts[i] > LONG else _VALUE
+        cut[i] = np.array([m.span() for m in pattern.finditer(words.buf[starts[i] : ends[i]].tobytes())] or [(0, ends[i] - starts[i])]) + starts[i]
         n[i] = len(cut[i])
     before = np.concatenate(([0], np.cumsum(n)))
     a, b = np.repeat(starts, n), np.repeat(ends, n)
