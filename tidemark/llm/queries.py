@@ -70,10 +70,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    words = secret_scan.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    model = secret_scan.train(secret_scan.labelled_findings(spark), words=words)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = secret_scan.scan(docs, model, path_col="source")
-    return found.select("doc_id", "word_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "secret")
+    found = secret_scan.scan(docs, model, path_col="source", words=words)
+    return found.select("doc_id", "word_no", "run_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("n_chars"), "score", "secret")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
