@@ -168,4 +168,4 @@ def drop_repeats(df: DataFrame, text_col: str = "text", window: int = 35, out_co
     names = schema.names
     blocks = x.answer(x.ask(ask_blocks), _decide)
     repeats = x.answer(x.ask(ask_windows, blocks), _decide)
-    return x.finish(blocks.unionByName(repeats), finish, schema)
+    return x.finish(x.deal(blocks.unionByName(repeats)), finish, schema)
