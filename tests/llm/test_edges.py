@@ -27,8 +27,8 @@ def operators(spark):
     tests = spark.createDataFrame([(1, "a b c"), (2, None), (None, "d e"), (3, ""), (3, "one")], "item_id long, text string")
 
     def rule(d):
-        forest, threshold = rules.fit(d, labels)
-        return rules.apply_rules(d, forest, threshold)
+        d = rules.measured(d)
+        return rules.apply_rules(d, *rules.fit(d, labels))
 
     return {
         "bpe": lambda d: bpe.encode(d, ranks, P.PATTERN, decoded_col="decoded"),
@@ -97,6 +97,7 @@ def test_no_tests_no_labels(spark, odd):
     labels = spark.createDataFrame([], LABELS)
     model, _ = pu.fit(d, labels, F.lit(True))
     assert {r.score for r in pu.predict(d, model).collect()} == {0.0}
+    d = rules.measured(d)
     forest, threshold = rules.fit(d, labels)
     assert threshold == 2.0 and rules.apply_rules(d, forest, threshold).where("kept").count() == 0
 

@@ -126,7 +126,7 @@ def test_ppm_is_the_trie(spark, data, docs):
         own = words(docs[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(own), sum(count[w] > 0 for w in own), n)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(r.score, trie.score(lower(docs[r.doc_id].encode())), rel_tol=1e-5)
+        assert math.isclose(r.score, trie.score(lower(docs[r.doc_id].encode())), rel_tol=1e-11)
 
 
 def test_ppm_is_a_distribution():
@@ -160,13 +160,27 @@ def test_pu_held_out_accuracy(spark, data):
 
 def test_prior_estimate():
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 1, (3000, 4)), rng.normal(4, 1, (1000, 4))])
-    positive = np.zeros(4000, bool)
-    positive[:800] = True
-    model, prior = pu.fit_arrays(x, positive, steps=200)
-    assert 0.68 < prior < 0.82
-    p = model.probability(x)
-    assert (p[:3000] > 0.5).mean() > 0.97 and (p[3000:] < 0.5).mean() > 0.97
+    for n, slack in ((3000, 0.05), (120, 0.2)):  # unlabelled text of which three quarters are good, and positives apart from it
+        text = np.concatenate([rng.normal(0, 1, (n, 4)), rng.normal(4, 1, (n // 3, 4))])
+        model, prior = pu.fit_arrays(rng.normal(0, 1, (n // 4, 4)), text, steps=200)
+        assert abs(prior - 0.75) < slack
+        p = model.probability(text)
+        assert (p[:n] > 0.5).mean() > 0.95 and (p[n:] < 0.5).mean() > 0.95
+
+
+def test_risk_gradient_by_differences():
+    rng = np.random.default_rng(1)
+    for prior, shift in ((0.4, 0.0), (0.9, -6.0)):  # with the negative part above 0, and below it
+        f = rng.normal(0, 1, 30)
+        f[12:] += shift
+        got = pu.pu_gradient(prior)(f, 12)
+        plus, minus = pu.pu_risk(prior, f, 12)
+        assert (minus >= 0) == (shift == 0)
+        whole = lambda f: sum(pu.pu_risk(prior, f, 12)) if minus >= 0 else -pu.pu_risk(prior, f, 12)[1]  # noqa: B023, E731
+        for i in range(30):
+            step = np.zeros(30)
+            step[i] = 1e-5
+            assert math.isclose(got[i], (whole(f + step) - whole(f - step)) / 2e-5, rel_tol=1e-4, abs_tol=1e-8)
 
 
 # -- 4
@@ -198,6 +212,42 @@ def test_decontamination_is_brute_force(spark):
         n, hit, found = brute_hits(own[x.doc_id], items, 4)
         assert (x.n_words, x.n_hit, list(x["items"])) == (n, hit, found)
         assert x.contaminated == (hit > 0 and 20 * hit >= n)
+        assert x.n_hit == sum(b - a for a, b in x.hits) and x.longest == brute_longest(own[x.doc_id], items, 4, x.hits)
+
+
+def brute_longest(text, items, width, hits):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t.encode()).decode())
+    w, best = split(text), max([b - a for a, b in hits], default=0)
+    for t in (split(t) for _, t in items):
+        for i in range(len(t)):
+            for j in range(len(w)):
+                n = 0
+                while n < width and i + n < len(t) and j + n < len(w) and t[i + n] == w[j + n]:
+                    n += 1
+                if n > 1 or n == len(t):
+                    best = max(best, n)
+    return best
+
+
+def test_decontamination_many_equal_items(spark, monkeypatch):
+    items = [(i, "the") for i in range(300)] + [(300 + i, "one two") for i in range(300)] + [(900, "one two three")]
+    docs = [(1, "the " * 2000 + "one two four"), (2, "x"), (3, "three one")]
+    made = [spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id"))]
+    want = {1: (2002, 2000, 600), 2: (0, 0, 0), 3: (0, 0, 0)}
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        got = {r.doc_id: (r.n_hit, r.longest, len(r["items"])) for r in decontam.scan(*made).collect()}
+        assert {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
+        assert got[1][1] == 2002 and got[2][1] == got[3][1] == 0
+
+
+def test_decontamination_removes_every_affected_document(spark):
+    passage = " ".join(f"b{i}" for i in range(20))
+    long = " ".join(f"w{i}" for i in range(5000))
+    docs = spark.createDataFrame([(1, f"{long} {passage} {long}"), (2, long), (3, passage[:30]), (4, None)], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, f"a {passage} c")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, tests).collect()) == [2, 3, 4]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, tests, percent=5).collect()) == [1, 2, 3, 4]
 
 
 def test_decontamination_blocks(spark, monkeypatch):
@@ -303,6 +353,54 @@ def test_field_held_out():
     assert sum(a == b for a, b in pairs) >= 0.98 * len(pairs)
 
 
+WRITTEN = [  # by hand, not by the generator of the training table: text, what the field should add
+    ("Bitte zahlen Sie auf iban:DE44500105175407324931 bis Freitag", ["DE44500105175407324931"]),
+    ("reach me under 0171 234567 tel after six", ["0171 234567"]),
+    ("Call us: (415) 555-0132 today", ["(415) 555-0132"]),
+    ("contact phone=415-555-0132;room=12", ["415-555-0132"]),
+    ("his SSN is 078-05-1120 as far as I know", ["078-05-1120"]),
+    ("ssn:219-09-9999, born 1950", ["219-09-9999"]),
+    ("account GB82WEST12345698765432 is closed", []),
+    ("mobile 555-867-5309 or fax (212) 555-0199", ["555-867-5309", "(212) 555-0199"]),
+    ("Founded in 1987, it has 12 rooms and 3 halls", []),
+    ("the meeting on 2024-03-17 at 10:30 in room 204", []),
+    ("version 4.1.2 of 12/05/2021 fixes 117 bugs", []),
+    ("It costs $300, or 25% less than 400 before", []),
+    ("see order id=884213 and build 20240117", []),
+    ("a ratio of 3.1415 and 2.7183 to 1", []),
+]
+
+
+def test_field_on_hand_written_lines():
+    found = pii.find(Texts.of(pa.array([t for t, _ in WRITTEN])), pii.default_field())
+    got = [[t[a:b] for k, a, b in own if k in ("phone", "iban", "ssn")] for (t, _), own in zip(WRITTEN, found, strict=True)]
+    right = sum(g == w for g, (_, w) in zip(got, WRITTEN, strict=True))
+    assert right >= 12 and all(not g for g, (_, w) in zip(got, WRITTEN, strict=True) if not w), got
+
+
+def test_segments_add_what_whole_texts_add(docs):
+    """Decoding every word of a text finds no more than the segments around digits."""
+    field = pii.default_field()
+    texts = [t for t in docs.values() if t][:120] + [t for t, _ in WRITTEN]
+    batch = Texts.of(pa.array(texts))
+    found = pii.find(batch, field)
+    words = Words(batch, SPACE)
+    starts, ends, bounds = pii._pieces(words)
+    for i, t in enumerate(texts):
+        own = [words.buf[s:e].tobytes().decode() for s, e in zip(starts[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]], strict=True)]
+        labels = field.viterbi([pii.word_features(own)])[0] if own else np.zeros(0, np.int8)
+        assert all(any("0" <= c <= "9" for c in w) for w, x in zip(own, labels, strict=True) if x)
+        whole = []
+        for label, x, y in pii._runs(labels):
+            a, b = starts[bounds[i] + x], starts[bounds[i] + y - 1]
+            head, tail = pii.core(own[x])[0], pii.core(own[y - 1])[1]
+            at = lambda byte: len(batch.buf[batch.offs[i] : byte].tobytes().decode())  # noqa: B023, E731
+            whole.append((pii.LABELS[label], at(a) + head, at(b) + tail))
+        base = pii.base_spans(t)
+        want = [s for s in whole if s[2] > s[1] and not any(s[1] < e and s[2] > b for _, b, e in base)]
+        assert sorted(want) == sorted(s for s in found[i] if s not in base)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     field = pii.Field(rng.normal(0, 1, (pii.SLOTS, 3)), rng.normal(0, 1, (3, 3)))
@@ -346,6 +444,45 @@ def test_secret_forest_held_out(spark):
     assert sum(a == b for a, b in told) >= 0.93 * len(told)
 
 
+def test_secret_candidates_and_features_are_brute_force(spark):
+    r = random.Random(12)
+    token = lambda n: "".join(r.choice("abcXYZ019_-/+=") for _ in range(n))
+    texts = [" ".join(r.choice(["word", "x=", token(r.randint(8, 40)), token(14) + "," + token(20), '"' + token(16) + '"', "CamelCaseNames", "lowercaseonlyword"]) for _ in range(r.randint(0, 25))) for _ in range(40)]
+    texts += ["k " * 3 + "aB3" * 4000 + " z", "tok1234567890 tok1234567890 a,tok1234567890,tok1234567890"]  # very long, and repeated within a word
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    words = ["word", "case", "names", "camel"]
+    got = collections.defaultdict(list)
+    for x in secret_scan.with_features(secret_scan.candidates(df), words).collect():
+        got[x.i].append((x.word_no, x.run_no, x.candidate, x.before2, x.before, x.after, *(round(x[f], 9) for f in ("length", "digits", "distinct", "words"))))
+    for i, t in enumerate(texts):
+        own, want = re.split(r"[ \t\n\x0b\x0c\r]+", t), []
+        at = lambda k: own[k] if 0 <= k < len(own) else ""  # noqa: B023, E731
+        for n, w in enumerate(own):
+            for k, c in enumerate(re.findall(r"[A-Za-z0-9+/_=-]{12,}", w)):
+                if re.search("[0-9]|[a-z][A-Z]", c):
+                    runs = [m.lower() for m in re.findall("[A-Z]?[a-z]+|[A-Z]+", c)]
+                    want.append((n, k, c, at(n - 2), at(n - 1), at(n + 1), float(len(c)), round(sum(x.isdigit() for x in c) / len(c), 9), round(len(set(c)) / min(len(c), 67), 9), round(sum(len(x) for x in runs if x in words) / len(c), 9)))
+        assert sorted(got[i]) == sorted(want)
+
+
+def test_secret_forest_on_hand_written_lines(spark):
+    words = secret_scan.vocabulary(P.path("word_bpe_49k.json"))
+    lines = [
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYz9qTkLmE4s", True),
+        ('api_key: "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', True),
+        ("password=Xk29vLq8TzPw", True),
+        ("export GITHUB_TOKEN=ghp_16C7e42F292c6912E7710c838347Ae178B4a", True),
+        ("merge commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b into main", False),
+        ("see docs/getting_started/example_config_2024", False),
+        ("request uuid 123e4567-e89b-12d3-a456-426614174000 done", False),
+        ("call getElementByIdHandler when it loads", False),
+    ]
+    model = secret_scan.train(secret_scan.labelled_findings(spark), words=words)
+    found = secret_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "i long, text string"), model, words=words)
+    told = {r.i: r.s for r in found.selectExpr("i", "secret as s").groupBy("i").agg({"s": "max"}).toDF("i", "s").collect()}
+    assert sum(told.get(i, False) == w for i, (_, w) in enumerate(lines)) >= 7, told
+
+
 def test_secret_scan_is_native(spark, data):
     out = queries.QUERIES["op8_secret_scan"](spark, data)
     plan = out._jdf.queryExecution().executedPlan().toString()
@@ -397,8 +534,8 @@ def brute_classes(rows, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("group", [2_000_000, 300])
-def test_near_duplicates_are_brute_force(spark, group):
+@pytest.mark.parametrize("group,most", [(2_000_000, 1000), (300, 64), (2_000_000, 4)])
+def test_near_duplicates_are_brute_force(spark, group, most):
     r = random.Random(10)
     rows, base = [], [f"w{r.randint(0, 300)}" for _ in range(200)]
     for i in range(90):
@@ -408,7 +545,7 @@ def test_near_duplicates_are_brute_force(spark, group):
                 w[r.randrange(len(w))] = f"n{r.randint(0, 9)}"
         base = w if i % 3 == 1 and r.random() < 0.3 else base
         rows.append((i, " ".join(w)))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), group_shingles=group).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), group_shingles=group, group_rows=most).collect()}
     want = brute_classes(rows, 85)
     assert got == want and 5 < len({c for _, c in want.values()}) < 90
 
@@ -423,6 +560,15 @@ def test_estimate_is_near_the_truth():
         assert abs(minhash.estimate(s[0], s[1:])[0] - truth) < 0.17
 
 
+def test_texts_of_one_id_are_one_vertex(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    df = spark.createDataFrame([(5, a), (3, b), (5, b + " x"), (7, c), (7, a + " y"), (9, c), (9, c)], "doc_id long, text string")
+    got = {(x.doc_id, x.component_id) for x in minhash.mark(df).collect()}
+    assert got == {(i, 3) for i in (3, 5, 7, 9)}
+    kept = minhash.keep_one(df.unionByName(df.where("doc_id = 3"))).collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(3, b)]
+
+
 def test_keep_one(spark):
     t = " ".join(f"w{i}" for i in range(300))
     df = spark.createDataFrame([(3, t, "x"), (2, t + " more", "y"), (9, "else", "z"), (None, t, "n")], "doc_id long, text string, _gone string")

@@ -354,7 +354,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     own = docs.columns
     held = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)])
     at = f"own_{own.index(id_col)}"
-    ids = told.where("id is not null").groupBy("id").agg(F.bool_or(~F.col("kept")).alias("gone"), (F.count("*") > 1).alias("again")).where("gone or again")
-    marked = held.join(ids, F.col(at) == F.col("id"), "left").where(~F.coalesce("gone", F.lit(False)))
-    once = marked.where("again").dropDuplicates([at]).unionByName(marked.where("again is null"))
+    gone = told.where("not kept").select("id").distinct()
+    left = held.join(gone, F.col(at) == F.col("id"), "left_anti")
+    again = held.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if again.isEmpty():
+        once = left
+    else:
+        once = left.join(again, F.col(at) == F.col("id"), "left_semi").dropDuplicates([at]).unionByName(left.join(again, F.col(at) == F.col("id"), "left_anti"))
     return once.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)])

@@ -52,7 +52,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = rules.measured(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     forest, threshold = rules.fit(docs, _table(spark, sf_dir, "labels"))
     out = rules.apply_rules(docs, forest, threshold)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

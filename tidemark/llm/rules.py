@@ -1,13 +1,17 @@
 """Quality rules: text statistics, an isolation forest over them, calibrated thresholds.
 
-``statistics`` measures every whole text.  ``Forest`` is an isolation forest:
-random splits isolate unusual documents after few steps, so a short mean path
-means an anomaly.  It is grown on a bounded sample of labelled rows; the
-threshold on its score is calibrated from all labelled rows.  ``apply_rules``
-adds the statistics, the base rules and the verdict.
-
-Words are runs of characters other than space and ``\\x09-\\x0D``.  Null texts have
-no words: all statistics 0 and the base rule on length fails.
+``statistics`` measures every whole text, ``measured`` does so once for all that
+follows.  ``Forest`` is an isolation forest: random splits isolate unusual
+documents after few steps, so a short mean path means an anomaly.  It is grown on
+a bounded sample of labelled rows; the threshold on its score is calibrated from
+all labelled rows.  ``apply_rules`` adds the statistics, the base rules and the
+verdict.
+
+Words are runs of characters other than space and ``\\x09-\\x0D``.  Null and empty
+texts have no words: all statistics 0 and the base rule on length fails.  Very
+long texts are measured whole, repeated rows are rows like others, null ids have
+no label, of several labels of an id the greatest counts.  An empty table gives
+no rows.  Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.textcore import SPACE, Texts, Words, attach, shared_dir, tune, windows, without
+from tidemark.llm.textcore import SPACE, Texts, Words, attach, shared_dir, tune, windows, without, written
 
 #: Symbols that prose rarely has; fixed by the rule's definition.
 SYMBOLS = b"#*$%&|<>"
@@ -94,6 +98,12 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     return attach(df, text_col, T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS]), work)
 
 
+def measured(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns ``keep``) with the COUNTS of its whole texts, measured once: a table in the shared folder."""
+    out = statistics(df, text_col)
+    return written(out.select(*[f"`{c}`" for c in keep], *COUNTS) if keep else out)
+
+
 #: Rates that the forest splits on, from the COUNTS.
 RATES = ["symbols", "dup_lines", "repeats", "upper", "digits", "marks", "doubled", "word_length"]
 
@@ -175,8 +185,8 @@ FOREST_ROWS = 4_096
 KEEP_CLEAN = 0.995
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: int = 1, trees: int = 300) -> tuple[Forest, float]:
-    """A forest and the score from which on a document is rejected.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", good: int = 1, trees: int = 300) -> tuple[Forest, float]:
+    """A forest and the score from which on a document is rejected; docs are ``measured``.
 
     The forest sees at most FOREST_ROWS labelled documents marked good, so that
     what is unlike them is isolated early.  The threshold is calibrated on all
@@ -186,9 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     both kinds nothing is rejected.
     """
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    measured = statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").drop("_text")
     shared_dir(docs.sparkSession)
-    told = measured.join(own, "_id").checkpoint()  # texts are measured where they are read, and once for both passes below
+    told = docs.select(F.col(f"`{id_col}`").alias("_id"), *COUNTS).join(own, "_id").checkpoint()
     first = told.where(F.col("_label") == good).select("_id", *rates()).orderBy(F.xxhash64("_id"), "_id").limit(FOREST_ROWS).drop("_id")
     x = np.array([tuple(r) for r in first.collect()], float).reshape(-1, len(RATES))
     extent = told.select(*rates()).agg(*[F.min(r).alias(f"low_{r}") for r in RATES], *[F.max(r).alias(f"high_{r}") for r in RATES]).first()
@@ -206,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return forest, float(best + 1) / 1000
 
 
-def apply_rules(docs: DataFrame, forest: Forest, threshold: float, text_col: str = "text") -> DataFrame:
-    """docs with the COUNTS, anomaly, base_failed and kept (columns of the same names are replaced)."""
-    out = without(forest_score(statistics(docs, text_col), forest), ["base_failed", "kept"])
+def apply_rules(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
+    """docs (``measured``) with anomaly, base_failed and kept (columns of the same names are replaced)."""
+    out = without(forest_score(docs, forest), ["base_failed", "kept"])
     return out.withColumn("base_failed", base_rule()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
