@@ -81,6 +81,15 @@ def test_components(spark):
     assert got == {v: find(v) for v in parent}
 
 
+def test_components_forget_size_estimates(spark):
+    ids = list(range(60))
+    random.Random(4).shuffle(ids)
+    out = graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"))
+    assert {x.v: x.root for x in out.collect()} == dict.fromkeys(ids, 0)
+    # a join multiplies the estimates of its sides: over rounds they had many thousand bits
+    assert int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 500
+
+
 # -- 1
 
 

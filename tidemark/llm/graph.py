@@ -5,7 +5,9 @@ its neighbours as parent, parents are followed to the roots by doubling, and
 edges are rewritten to roots until none joins two of them.  A root is less than
 its neighbours, so each round leaves half of the vertices at most.  Only minima are aggregated,
 so a vertex with very many neighbours is pre-aggregated where its edges lie, and
-nothing is collected.  Rounds are checkpointed in the shared folder.
+nothing is collected.  Rounds are checkpointed in the shared folder and forget
+the planner's size estimates: a join's is the product of its sides', a checkpoint
+hands it on, and over rounds its digits would double until they fill the driver.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = hook.select("v", F.col("p").alias("root"))
         else:
-            labels = labels.join(hook.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root")).checkpoint()
+            labels = settled(labels.join(hook.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root")))
         if not n:
             return labels
         left = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
@@ -46,7 +48,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame, count: Column) -> tuple[DataFrame, int]:
-    """df checkpointed, and a count over its rows that is taken on the way."""
+    """df settled, and a count over its rows that is taken on the way."""
     seen = Observation()
-    held = df.observe(seen, count.alias("n")).checkpoint()
+    held = settled(df.observe(seen, count.alias("n")))
     return held, seen.get["n"]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed, of the size that Spark takes for unknown (spark.sql.defaultSizeInBytes) whatever df was made of."""
+    held = df.checkpoint()._jdf
+    rows = held.queryExecution().toRdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, held.schema(), False), df.sparkSession)
