@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, kv, runs, scan, snapshots
+from tidemark.operators import dedup, kv, runs, scan, snapshots, transitions
 from tidemark.streaming import logstream
 
 LOG = "idx long, client_id long, request_id long, op string, k string, v decimal(18,2)"
@@ -126,3 +126,14 @@ def test_run_files(spark, tmp_path):
     e = spark.range(500).select(F.lit(1).alias("table_id"), (F.col("id") * 7 % 500).alias("k1"), F.lit(0).alias("k2"), F.col("id").alias("v"))
     runs.write_run(e, f"file://{tmp_path}/run")
     assert [r.k1 for r in runs.read_run(spark, f"file://{tmp_path}/run").collect()] == list(range(500))
+
+
+def test_logs_are_never_broadcast(spark):
+    """A log whose guessed size is small, as one made by explode, is sorted and merged with its states."""
+    states = spark.range(4).selectExpr("id AS node_id", "5L AS term", "'a' AS voted_for", "'follower' AS role", "3L AS commit_idx", "2L AS applied_idx", "1L AS boundary_idx", "1L AS boundary_term", "9L AS last_idx", "CAST(NULL AS LONG) AS pending_idx")
+    log = states.select("node_id", F.explode(F.sequence(F.col("boundary_idx") + 1, "last_idx")).alias("idx")).withColumn("term", F.col("idx") % 3)
+    requests = spark.range(8).selectExpr("id AS request_id", "id % 4 AS node_id", "5L AS term", "id AS prev_idx", "id % 3 AS prev_term", "1L AS n_entries", "9L AS leader_commit")
+    judged = transitions.judge_appends(requests, states, log)
+    for df in (judged,):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.request_id: r.reason for r in judged.collect()} == {0: "NO_PREVIOUS", **dict.fromkeys(range(1, 8), "ACCEPTED")}

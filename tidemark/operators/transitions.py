@@ -3,7 +3,9 @@
 A node's state is a row (node_id, term, voted_for, role, commit_idx, applied_idx,
 boundary_idx, boundary_term, last_idx, last_term); messages and logs are tables
 beside it.  Every rule is a join on the node (and an index), so a table of many
-clusters' states is judged at once.
+clusters' states is judged at once.  Spark guesses the size of a log from what it
+was made of, which may be far less, so joins with logs are hinted to sort and merge:
+none is sent whole to the driver.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def judge_appends(requests: DataFrame, states: DataFrame, log: DataFrame) -> Dat
     """
     own = states.select("node_id", F.col("term").alias("_term"), F.col("commit_idx").alias("_commit"), F.col("boundary_idx").alias("_b"), F.col("boundary_term").alias("_bt"))
     at = log.select("node_id", F.col("idx").alias("prev_idx"), F.col("term").alias("_at"))
-    told = requests.join(own, "node_id").join(at, ["node_id", "prev_idx"], "left")
+    told = requests.join(own.hint("merge"), "node_id").join(at.hint("merge"), ["node_id", "prev_idx"], "left")
     held = F.when(F.col("prev_idx") == F.col("_b"), F.col("_bt")).when(F.col("prev_idx") > F.col("_b"), F.col("_at"))
     reason = F.when(F.col("term") < F.col("_term"), "STALE_TERM").when(held.isNull(), "NO_PREVIOUS").when(held != F.col("prev_term"), "OTHER_TERM").otherwise("ACCEPTED")
     told = told.withColumn("reason", reason).withColumn("success", F.col("reason") == "ACCEPTED").withColumn("reply_term", F.greatest("term", "_term"))
