@@ -134,6 +134,11 @@ def test_logs_are_never_broadcast(spark):
     log = states.select("node_id", F.explode(F.sequence(F.col("boundary_idx") + 1, "last_idx")).alias("idx")).withColumn("term", F.col("idx") % 3)
     requests = spark.range(8).selectExpr("id AS request_id", "id % 4 AS node_id", "5L AS term", "id AS prev_idx", "id % 3 AS prev_term", "1L AS n_entries", "9L AS leader_commit")
     judged = transitions.judge_appends(requests, states, log)
-    for df in (judged,):
+    _, kept = transitions.install_snapshots(states, spark.createDataFrame([(0, 5, 4, 1), (1, 5, 4, 2), (2, 4, 4, 1)], "node_id long, term long, idx long, idx_term long"), log)
+    for df in (judged, kept):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r.request_id: r.reason for r in judged.collect()} == {0: "NO_PREVIOUS", **dict.fromkeys(range(1, 8), "ACCEPTED")}
+    got = {}
+    for r in kept.collect():
+        got.setdefault(r.node_id, []).append(r.idx)
+    assert {k: sorted(v) for k, v in got.items()} == {0: [5, 6, 7, 8, 9], 2: list(range(2, 10)), 3: list(range(2, 10))}

@@ -92,7 +92,7 @@ def install_snapshots(states: DataFrame, sent: DataFrame, log: DataFrame) -> tup
     index, is pending until ``confirm``, and keeps the log after it only where the
     log has its last entry.
     """
-    told = states.join(sent.select("node_id", F.col("term").alias("_t"), F.col("idx").alias("_i"), F.col("idx_term").alias("_it")), "node_id", "left")
+    told = states.join(sent.select("node_id", F.col("term").alias("_t"), F.col("idx").alias("_i"), F.col("idx_term").alias("_it")).hint("merge"), "node_id", "left")
     status = F.when(F.col("_t").isNull(), None).when(F.col("_t") < F.col("term"), "STALE_TERM").when(F.col("_i") <= F.col("boundary_idx"), "HAVE_IT").otherwise("INSTALLED")
     told = told.withColumn("status", status)
     new = F.coalesce(F.col("status") == "INSTALLED", F.lit(False))
@@ -104,8 +104,9 @@ def install_snapshots(states: DataFrame, sent: DataFrame, log: DataFrame) -> tup
         "pending_idx": F.when(new, F.col("_i")),
     }).drop("_t", "_i", "_it")
     moved = after.where("status = 'INSTALLED'").select("node_id", F.col("boundary_idx").alias("_b"), F.col("boundary_term").alias("_bt"))
-    matched = log.join(moved, "node_id").where("idx = _b and term = _bt").select("node_id", F.lit(True).alias("_has"))
-    kept = log.join(moved, "node_id", "left").join(matched, "node_id", "left").where("_b is null or (_has and idx > _b)").drop("_b", "_bt", "_has")
+    entries = log.select("node_id", F.col("idx").alias("_b"), F.col("term").alias("_bt"))
+    matched = moved.join(entries.hint("merge"), ["node_id", "_b", "_bt"], "left_semi").select("node_id", F.lit(True).alias("_has"))
+    kept = log.join(moved.hint("merge"), "node_id", "left").join(matched.hint("merge"), "node_id", "left").where("_b is null or (_has and idx > _b)").drop("_b", "_bt", "_has")
     return after, kept
 
 
