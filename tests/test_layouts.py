@@ -186,3 +186,23 @@ def test_names(spark):
         with pytest.raises(Exception, match=f"unknown value {'null' if value is None else value}"):
             spark.createDataFrame([(value,)], "x string").select(text.parsed(F.col("x"), text.OUTCOMES)).collect()
     assert codecs.same_bytes(b"a", b"a") and not codecs.same_bytes(b"a", b"b")
+
+
+def test_runs_are_dealt_into_files(spark, data):
+    """No file has keys of more than one range."""
+    from tidemark.plans import file_queries
+
+    files = file_queries._run_files(spark, data)
+    assert files.columns == ["table_id", "part", "content"]
+    keys = [(r.part, int(r.key[:12])) for r in runfile.decode_runs(files, file_queries.RUN).select("part", F.col("key").cast("string").alias("key")).collect()]
+    assert keys and all(k // file_queries._RANGE == part for part, k in keys)
+
+
+def test_only_asked_files_are_copied(spark):
+    rows = [(g, f"k{i}", str(i), i % 2 == 0) for g in (1, None, 3) for i in range(6)]
+    made = runfile.encode_runs(spark.createDataFrame(rows, "g int, key string, value string, tombstone boolean"), ["g"], MAGIC)
+    bad = made.withColumn("content", F.when(F.col("g") == 3, F.lit(b"no run file")).otherwise(F.col("content")))
+    probes = spark.createDataFrame([(1, "k1"), (1, "k2"), (1, "k9"), (None, "k3"), (2, "k1")], "g int, key string")
+    got = {(r.g, r.key): (r.result, r.value) for r in runfile.get(bad, probes, ["g"], MAGIC).collect()}
+    assert got == {(1, "k1"): ("FOUND", b"1"), (1, "k2"): ("TOMBSTONE", None), (1, "k9"): ("NOT_FOUND", None), (None, "k3"): ("FOUND", b"3"), (2, "k1"): ("NOT_FOUND", None)}
+    assert "_parts" in runfile.get(bad, probes, ["g"], MAGIC)._jdf.queryExecution().optimizedPlan().toString()

@@ -74,13 +74,17 @@ _KEYED = "lpad(CAST(k1 AS VARCHAR), 12, '0') || '/' || k2"
 _ENTRIES = f"WITH {MERGED}, e AS (SELECT table_id, {_KEYED} AS key, CASE WHEN tombstone THEN NULL ELSE CAST(v AS VARCHAR) END AS value, tombstone FROM merged)"
 
 
+#: Values of k1 in a run file: a run is dealt into files by ranges of its keys, so no file grows with the run.
+_RANGE = 1 << 16
+
+
 def _entries(s, d):
     key = F.concat(F.lpad(F.col("k1").cast("string"), 12, "0"), F.lit("/"), F.col("k2").cast("string"))
-    return runs.merge(a.run_entries(s, d)).select("table_id", key.alias("key"), F.col("v").cast("string").alias("value"), "tombstone")
+    return runs.merge(a.run_entries(s, d)).select("table_id", F.floor(F.col("k1") / _RANGE).alias("part"), key.alias("key"), F.col("v").cast("string").alias("value"), "tombstone")
 
 
 def _run_files(s, d):
-    return runfile.encode_runs(_entries(s, d), ["table_id"], RUN)
+    return runfile.encode_runs(_entries(s, d), ["table_id", "part"], RUN)
 
 
 @query(f"{_ENTRIES} SELECT table_id, key, value, tombstone FROM e")
@@ -92,15 +96,16 @@ def run_file_round_trip(s, d):
 @query(f"{_ENTRIES} SELECT table_id, count(*) AS n_entries, min(key) AS min_key, max(key) AS max_key FROM e GROUP BY table_id")
 def run_file_summary(s, d):
     out = runfile.summaries(_run_files(s, d), RUN)
-    return out.select("table_id", "n_entries", F.col("min_key").cast("string").alias("min_key"), F.col("max_key").cast("string").alias("max_key"))
+    whole = out.groupBy("table_id").agg(F.sum("n_entries").alias("n_entries"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
+    return whole.select("table_id", "n_entries", F.col("min_key").cast("string").alias("min_key"), F.col("max_key").cast("string").alias("max_key"))
 
 
 @query(f"{_ENTRIES}, p AS (SELECT table_id, lpad(CAST(range * 5 AS VARCHAR), 12, '0') || '/' || (range % 4 + 1) AS key FROM range(2000), (SELECT DISTINCT table_id FROM entry)) SELECT table_id, key, CASE WHEN tombstone IS NULL THEN 'NOT_FOUND' WHEN tombstone THEN 'TOMBSTONE' ELSE 'FOUND' END AS result, value FROM p LEFT JOIN e USING (table_id, key)")
 def run_file_get(s, d):
     tables = a.run_entries(s, d).select("table_id").distinct()
     key = F.concat(F.lpad((F.col("id") * 5).cast("string"), 12, "0"), F.lit("/"), (F.col("id") % 4 + 1).cast("string"))
-    probes = s.range(2000).select(key.alias("key")).join(tables)
-    return runfile.get(_run_files(s, d), probes, ["table_id"], RUN).withColumn("value", F.col("value").cast("string"))
+    probes = s.range(2000).select(F.floor(F.col("id") * 5 / _RANGE).alias("part"), key.alias("key")).join(tables)
+    return runfile.get(_run_files(s, d), probes, ["table_id", "part"], RUN).withColumn("value", F.col("value").cast("string")).drop("part")
 
 
 @query(f"{_ENTRIES} SELECT table_id, count(*) AS n, count(*) FILTER (WHERE tombstone) AS n_tombstones, true AS in_order FROM e GROUP BY table_id")
