@@ -150,3 +150,14 @@ def test_the_rest_does_without_the_training_data_part(tmp_path):
         out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
         assert out.returncode == 0, out.stderr
     assert DATA
+
+
+def test_few_histories_are_held_at_once(spark, data):
+    """Batches are cut before they become objects; what comes of them is the same for any cut."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    cut = list(history._some([batch, batch]))
+    assert max(b.num_rows for b in cut) == history.SOME < 100 and [x for b in cut for x in b.column(0).to_pylist()] == list(range(1000)) * 2
+    told = adapters.history(spark, data)
+    assert history.report(told).count() == history.verdicts(told).count() == told.select("history_id").distinct().count() > history.SOME

@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MOST_OPTIONAL = 12
 #: Search steps of one history.
 BUDGET = 200_000
+#: Histories of a batch that a worker holds as Python objects at once.
+SOME = 64
 
 
 def completed(ops: DataFrame) -> DataFrame:
@@ -151,13 +153,20 @@ def check_one(ops: list[dict], budget: int = BUDGET) -> str:
 _TOLD = "n_ops long, verdict string, n_completed long, states long, budget long, witness array<long>, failing long, expected_found boolean, expected_value string"
 
 
+def _some(batches):
+    """Batches cut into few histories each: as Python objects these take many times their bytes in Arrow."""
+    for b in batches:
+        for at in range(0, b.num_rows, SOME):
+            yield b.slice(at, SOME)
+
+
 def _searched(ops: DataFrame, ddl: str, budget: int, row) -> DataFrame:
     """A row per history by ``row(operations, what the search told)``; a history is one row of one task's work, bounded by the budget."""
     whole = ops.groupBy("history_id").agg(F.collect_list(F.struct(*[c for c in ops.columns if c != "history_id"])).alias("_ops"))
     schema = T.StructType([whole.schema["history_id"], *T.StructType.fromDDL(ddl).fields])
 
     def run(batches):
-        for b in batches:
+        for b in _some(batches):
             rows = [row(own, check(own, budget)) for own in b.column(1).to_pylist()]
             made = pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(T.StructType(schema.fields[1:])))
             yield pa.RecordBatch.from_arrays([b.column(0), *made.columns], names=schema.names)
@@ -192,7 +201,7 @@ def minimized(ops: DataFrame, passes: int = 8, budget: int = BUDGET) -> DataFram
     whole = ops.groupBy("history_id").agg(F.collect_list(F.struct(*ops.columns)).alias("_ops"))
 
     def run(batches):
-        for b in batches:
+        for b in _some(batches):
             schema = pa.schema(list(b.schema.field(1).type.value_type))
             rows = []
             for own in b.column(1).to_pylist():
