@@ -225,3 +225,14 @@ def test_generators_repeat(spark):
         assert abs(n - 50 * percent) < 150
     e = workload.compaction_inputs(spark, 3, 10, True, 5)
     assert e.select("key").distinct().count() == 30 and e.where("tombstone").count() == 6
+
+
+def test_chunks_of_receivers_come_in_order(spark):
+    """Receivers get no call of their own, and one that spans batches is one."""
+    n = 3 * snapshots.SOME
+    chunks = spark.range(n).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS receiver", "id AS seq", "'a' AS identity", "id DIV 3 AS offset", "CAST('x' AS BINARY) AS data", f"{n // 3}L AS total", f"{codecs.crc32c_bytes(b'x')}L AS checksum", f"id DIV 3 = {n // 3 - 1} AS final")
+    out = snapshots.reassemble(chunks)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == n and {(r.receiver, bytes(r.data)) for r in rows if r.status == "COMPLETE"} == {(k, b"x" * (n // 3)) for k in (None, 1, 2)}
+    assert sum(r.status == "STORED" for r in rows) == n - 3

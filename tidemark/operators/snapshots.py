@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.codecs import crc32c_bytes
 
 CHUNK = 1 << 20
 MOST = 256 << 20
+#: Rows and bytes of data that a worker hands on at once.
+SOME, MOST_BYTES = 1 << 12, 1 << 24
 
 
 def chunk_offsets(items: DataFrame, size: Column, chunk: int = CHUNK) -> DataFrame:
@@ -22,7 +27,7 @@ def chunk_offsets(items: DataFrame, size: Column, chunk: int = CHUNK) -> DataFra
     return out.withColumn("n_bytes", n).withColumn("final", F.col("offset") + F.col("n_bytes") >= F.col("_size")).drop("_size")
 
 
-def arrivals(rows: list[dict]) -> Iterator[tuple[int, str, bytes | None]]:
+def arrivals(rows: Iterable[dict]) -> Iterator[tuple[int, str, bytes | None]]:
     """(seq, status, data) of chunks in order of arrival (seq, identity, offset, data, total, checksum, final).
 
     Status is STORED, COMPLETE, or why it was refused.  Offset 0 starts over; a
@@ -61,12 +66,33 @@ def arrivals(rows: list[dict]) -> Iterator[tuple[int, str, bytes | None]]:
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
-    """(receiver, seq, status, data) of chunks (receiver, seq, identity, offset, data, total, checksum, final)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = list(arrivals(pdf.sort_values("seq").to_dict("records")))
-        return pd.DataFrame({"receiver": [pdf["receiver"].iloc[0]] * len(out), "seq": [o[0] for o in out], "status": [o[1] for o in out], "data": [o[2] for o in out]})
+    """(receiver, seq, status, data) of chunks (receiver, seq, identity, offset, data, total, checksum, final).
 
-    return chunks.groupBy("receiver").applyInPandas(run, f"receiver {dict(chunks.dtypes)['receiver']}, seq long, status string, data binary")
+    Chunks come in order of receiver and seq, so a worker holds what is there of one
+    transfer, not all chunks of a receiver, and no receiver has a call of its own.
+    """
+    schema = T.StructType([T.StructField("receiver", chunks.schema["receiver"].dataType), *T.StructType.fromDDL("seq long, status string, data binary")])
+    told = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for at in range(0, b.num_rows, SOME) for r in b.slice(at, SOME).to_pylist())
+        out, size = [], 0
+        for receiver, own in groupby(rows, key=lambda r: r["receiver"]):
+            for seq, status, data in arrivals(own):
+                out.append((receiver, seq, status, data))
+                size += len(data or b"")
+                if len(out) >= SOME or size >= MOST_BYTES:
+                    yield _batch(out, told)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, told)
+
+    fields = ["receiver", "seq", "identity", "offset", "data", "total", "checksum", "final"]
+    return chunks.select(*fields).repartition("receiver").sortWithinPartitions("receiver", F.asc_nulls_last("seq")).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def digest(state: DataFrame, columns: list[str]) -> DataFrame:
